@@ -1 +1,8 @@
 """Document analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions go to the executors by value: these need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
