@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .block_dedup import op6_block_dedup
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .mixing import OP9_SQL, op9_mixing
 from .secrets import op5_secrets
+from .suffix_dedup import op2_suffix_dedup
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op5_secrets": op5_secrets,
+    "op6_block_dedup": op6_block_dedup,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
