@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .block_dedup import op6_block_dedup
+from .cotraining import op4_cotraining
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .fingerprints import op7_fingerprints
 from .minhash import op3_minhash
@@ -14,6 +15,7 @@ from .token_counts import op8_token_counts
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_minhash": op3_minhash,
+    "op4_cotraining": op4_cotraining,
     "op5_secrets": op5_secrets,
     "op6_block_dedup": op6_block_dedup,
     "op7_fingerprints": op7_fingerprints,
