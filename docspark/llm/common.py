@@ -41,8 +41,9 @@ def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size of ``df`` in bytes; for a scan, the size of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """The optimizer's size of ``df`` in bytes; for a scan, the size of its files. 0 if it knows none."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
 
 
 def parts_for(df: DataFrame, bytes_each: int) -> int:

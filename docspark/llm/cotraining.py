@@ -291,6 +291,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in own], "_score.p_text", "_score.p_page", "_score.quality_score")
 
 
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose quality_score is at least ``least``, with all their columns."""
+    return scored(docs, model).where(F.col("quality_score") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op4_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, p_text, p_page, quality_score (0 to 1), accepted for every document."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")

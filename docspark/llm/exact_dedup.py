@@ -100,6 +100,18 @@ def dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
     )
 
 
+def drop_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
+    """The rows of ``docs`` that :func:`dedup` keeps, with all their columns."""
+    kept = dedup(docs, index).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    text = text_of(docs)
+    rows = docs.withColumn("_sha", F.sha2(F.translate(text, _BLANKS, ""), 256)).withColumn("_id", docs["doc_id"].cast("long"))
+    same = rows["_id"].eqNullSafe(kept["_id"]) & (rows["_sha"] == kept["_sha"])
+    rows = rows.join(kept, same, "left_semi")
+    # Rows that repeat an id and a text: the longest, as in the index, and of equal ones any.
+    nth = F.row_number().over(Window.partitionBy("_id", "_sha").orderBy(F.length(text_of(rows)).desc()))
+    return rows.withColumn("_nth", nth).where("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def new_index(docs: DataFrame, name: str = "exact_dedup") -> DigestIndex:
     return DigestIndex(docs.sparkSession, f"{name}_{uuid.uuid4().hex[:12]}", buckets=parts_for(docs, 64 << 20))
 

@@ -271,5 +271,11 @@ def near_duplicates(
     )
 
 
+def drop_near_duplicates(docs: DataFrame, percent: int = 80, **options) -> DataFrame:
+    """The rows of ``docs`` that :func:`near_duplicates` keeps, with all their columns."""
+    kept = near_duplicates(docs, percent, **options).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_id"]), "left_semi")
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)

@@ -47,7 +47,7 @@ def _uniform(key: Column, seed: str) -> Column:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: str = "mix:") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every document.
+    """doc_id, source, size, source_size, target, copies, text_hash, taken for every document.
 
     size counts words (runs of anything but 0x20 and 0x09-0x0D; null text: 0). Each
     document first gets floor(target / source_size) certain whole copies. The words
@@ -64,6 +64,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0,
         docs["doc_id"].cast("long").alias("doc_id"),
         docs["source"].cast("string").alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+        F.xxhash64(text).alias("text_hash"),
     )
     return _mix(cut(rows), weights, share, cap, seed)
 
@@ -103,7 +104,7 @@ def _mix(rows: DataFrame, weights, share, cap, seed) -> DataFrame:
     middle = F.col("bin_from") + F.sum("size").over(within) - F.col("size") / 2.0
     out = out.withColumn("copies", (F.col("whole") + (middle <= F.col("missing")).cast("long")).cast("long"))
     none = ranked.where("size = 0").withColumn("copies", F.col("whole").cast("long"))
-    columns = ["doc_id", "source", "size", "source_size", "target", "copies"]
+    columns = ["doc_id", "source", "size", "source_size", "target", "copies", "text_hash"]
     return (
         out.select(*columns)
         .unionAll(none.select(*columns))
@@ -111,6 +112,19 @@ def _mix(rows: DataFrame, weights, share, cap, seed) -> DataFrame:
     )
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as :func:`mix` takes it, with all their columns."""
+    taken = mix(docs, **options).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    taken = taken.agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
+    rows = docs.withColumn("_rid", docs["doc_id"].cast("long")).withColumn("_rhash", F.xxhash64(text_of(docs)))
+    # Rows that repeat an id and a text share what all of them were taken for.
+    rows = rows.join(taken, rows["_rid"].eqNullSafe(F.col("_id")) & (F.col("_rhash") == F.col("_hash")))
+    nth = F.row_number().over(Window.partitionBy("_rid", "_rhash").orderBy("_copies"))
+    rows = rows.withColumn("_nth", nth).where("_nth = 1")
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")

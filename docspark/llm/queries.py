@@ -8,11 +8,13 @@ from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .fingerprints import op7_fingerprints
 from .minhash import op3_minhash
 from .mixing import OP9_SQL, op9_mixing
+from .sampling import op1_sampling
 from .secrets import op5_secrets
 from .suffix_dedup import op2_suffix_dedup
 from .token_counts import op8_token_counts
 
 QUERIES = {
+    "op1_sampling": op1_sampling,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_minhash": op3_minhash,
     "op4_cotraining": op4_cotraining,
