@@ -27,6 +27,8 @@ from .common import keyed, parts_for, real_id, table
 U64 = np.uint64
 #: Bytes of text worked on at once, and the bytes of Parquet that make a group of documents.
 SLICE, GROUP = 1 << 19, 4 << 20
+#: Windows sorted at once.
+PORTION = 1 << 18
 
 
 def _anchors(data: np.ndarray, at: np.ndarray, window: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -308,14 +310,14 @@ def _radix(f: np.ndarray, data: np.ndarray, window: int) -> tuple[np.ndarray, np
     total = np.cumsum(windows)
     new_anchor = np.flatnonzero(np.concatenate([[True], f["h"][order][1:] != f["h"][order][:-1]])) if len(order) else []
     bounds, last = [0], 0
-    for a in list(new_anchor)[1:]:
-        if total[a - 1] - last > 1 << 20:
+    for a, b in zip(list(new_anchor), [*list(new_anchor)[1:], len(order)]):
+        if total[b - 1] - last > PORTION and a > bounds[-1]:
             bounds.append(int(a))
             last = total[a - 1]
     bounds.append(len(order))
     for a, b in zip(bounds[:-1], bounds[1:]):
-        if b > a:
-            o, s = _radix_portion(f, data, begin, rank, order[a:b], windows[a:b], window)
+        for owner, offset in _first_digits(f, order[a:b], windows[a:b]):
+            o, s = _radix_portion(f, data, begin, rank, owner, offset, window)
             if len(o):
                 new = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (np.diff(s) != 1)]))
                 owners.append(o[new])
@@ -324,9 +326,25 @@ def _radix(f: np.ndarray, data: np.ndarray, window: int) -> tuple[np.ndarray, np
     return np.concatenate(owners), np.concatenate(starts), np.concatenate(ends)
 
 
-def _radix_portion(f, data, begin, rank, strings, windows, window) -> tuple[np.ndarray, np.ndarray]:
-    owner = np.repeat(strings, windows)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+def _first_digits(f, strings: np.ndarray, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The windows of some strings (owner and place in the string), in one go or, if these are the strings of a
+    frequent anchor, by the anchor's place in the window."""
+    if not len(strings):
+        return
+    if windows.sum() <= 2 * PORTION:
+        yield np.repeat(strings, windows), np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        return
+    off = f["off"][strings].astype(np.int64)
+    least, most = int((off - windows + 1).min()), int(off.max())
+    step = max(1, PORTION // len(strings))
+    for a in range(least, most + 1, step):
+        some = [np.flatnonzero((off >= w) & (off - w < windows)) for w in range(a, min(a + step, most + 1))]
+        at = np.repeat(np.arange(a, a + len(some)), [len(x) for x in some])
+        x = np.concatenate(some)
+        yield strings[x], off[x] - at
+
+
+def _radix_portion(f, data, begin, rank, owner, offset, window) -> tuple[np.ndarray, np.ndarray]:
     # First digit: the anchor and its place in the window.
     where = f["off"][owner].astype(np.int64) - offset
     order = np.lexsort((rank[owner], where, f["h"][owner]))
