@@ -54,7 +54,8 @@ def _anchors(data: np.ndarray, at: np.ndarray, window: int, k: int) -> Iterator[
             new = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (np.diff(good) != 1)]))
             first, last = good[new], good[np.append(new[1:], len(good)) - 1]
             d, p = doc[first], p[new]
-            yield d, first + a - at[d], last + a - at[d], p + a - at[d], h[p]
+            # Smallest hashes crowd at the low end; spread again, they can be dealt out by range.
+            yield d, first + a - at[d], last + a - at[d], p + a - at[d], tc.mix64(h[p])
 
 
 def _sorted_docs(t: pa.Table, once: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
