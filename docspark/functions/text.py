@@ -161,6 +161,11 @@ def numbered_heading_level(number: Column) -> Column:
     return F.size(F.split(number, r"\.")) + 1
 
 
+def figure_marks(c: Column) -> Column:
+    """Comments that say which figure a page holds as image references; names in straight, curly or no quotes."""
+    return F.regexp_replace(c, r"""<!--\s*本页含图[:：]\s*["“']?([^"”'>]*?)["”']?\s*-->""", "![$1]($1.png)")
+
+
 def flat_media(c: Column, base: Column) -> Column:
     """References into base.files/media/ moved up to base.files/."""
     return F.replace(c, F.concat(base, F.lit(".files/media/")), F.concat(base, F.lit(".files/")))

@@ -53,6 +53,16 @@ def captions_into_images(lines: DataFrame, key: str) -> DataFrame:
     return lines.withColumn("line", F.when(F.coalesce(is_image, F.lit(False)), new).otherwise(line)).drop("_next")
 
 
+def image_texts_placed(lines: DataFrame, images: DataFrame, key: str, keep_missing: bool = True) -> DataFrame:
+    """Image lines replaced by what was read from the image. images: key, src, md. Lines of images without a text
+    stay, or go if they are not to be kept."""
+    src = F.when(F.col("line").rlike(K.IMAGE_LINE), F.regexp_extract("line", K.IMAGE_LINE, 2))
+    found = lines.withColumn("src", src).join(images.select(key, "src", "md"), [key, "src"], "left")
+    if not keep_missing:
+        found = found.where("src IS NULL OR md IS NOT NULL")
+    return found.select(key, "lineno", F.coalesce("md", "line").alias("line"))
+
+
 def glued_tokens(lines: DataFrame, key: str) -> DataFrame:
     """(key, lineno, token, context): long tokens in which words or numbers ran together, first place in each document."""
     tokens = lines.where(~F.col("line").rlike(K.SKIPPED_LINE)).select(

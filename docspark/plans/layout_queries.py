@@ -191,3 +191,16 @@ def pdf_page_counts(spark, sf_dir):
     k = F.col("s_suppkey")
     body = F.concat(F.when(k % 5 > 0, F.lit("%PDF-1.4 ")).otherwise(F.lit("x")), F.lit("/Type /Pages "), F.repeat(F.lit("/Type /Page "), (k % 3).cast("int")))
     return table(spark, sf_dir, "supplier").select("s_suppkey", pdf_pages(F.encode(body, "UTF-8")).alias("pages"))
+
+
+@query(
+    """SELECT s_suppkey, '---' || chr(10) || 'title: ' || s_name || chr(10) || 'date: 2020-01-01' || chr(10) || 'pages: ' || s_suppkey || chr(10) || '---' || chr(10) || chr(10) || '> Page offset: '
+ || CASE WHEN s_suppkey % 2 = 0 THEN '2' ELSE 'none' END || '; without number: ' || CASE WHEN s_suppkey % 3 = 0 THEN '（无）' ELSE '1,' || s_suppkey END || '; tables: 4' AS header FROM supplier"""
+)
+def front_matters(spark, sf_dir):
+    k = F.col("s_suppkey")
+    d = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.col("s_name").alias("name"), k.alias("n_pages"), F.lit(4).alias("tables"), F.when(k % 2 == 0, 2).alias("offset"),
+        F.when(k % 3 == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.lit(1).cast("bigint"), k.cast("bigint"))).alias("missing"),
+    )
+    return layout.front_matter(d, "2020-01-01").select("s_suppkey", "header")

@@ -410,3 +410,43 @@ def page_offsets(spark, sf_dir):
     printed = F.when(k % 5 > 0, (k % 400 + F.when((c % 20 == 3) & (k % 2 == 0), 1).otherwise(2)).cast("int"))
     p = o.groupBy((c % 20).alias("doc"), (k % 400).cast("int").alias("page")).agg(F.min(printed).alias("doc_page"))
     return layout.page_mapping(p, "doc")
+
+
+@query(
+    f"""WITH l AS ({_CAPTIONS}), i AS (SELECT c_nationkey AS k, 'img' || c_custkey || '.png' AS src, '| ' || c_name || ' |' AS md FROM customer WHERE c_custkey % 2 = 0),
+p AS (SELECT *, CASE WHEN regexp_matches(line, '{K.IMAGE_LINE}') THEN regexp_extract(line, '{K.IMAGE_LINE}', 2) END AS src FROM l)
+SELECT p.k, lineno, coalesce(md, line) AS line FROM p LEFT JOIN i ON p.k = i.k AND p.src = i.src"""
+)
+def image_texts_placed(spark, sf_dir):
+    """Lines with images replaced by their recognised text."""
+    c = table(spark, sf_dir, "customer")
+    c.createOrReplaceTempView("docspark_customer")
+    l = spark.sql(_CAPTIONS.replace("FROM customer", "FROM docspark_customer").replace("::INT", ""))  # noqa: E741
+    k = F.col("c_custkey")
+    i = c.where(k % 2 == 0).select(F.col("c_nationkey").alias("k"), F.concat(F.lit("img"), k.cast("string"), F.lit(".png")).alias("src"), F.concat(F.lit("| "), F.col("c_name"), F.lit(" |")).alias("md"))
+    return lines.image_texts_placed(l, i, "k")
+
+
+@query(
+    """SELECT c_custkey, 'a ![fig ' || c_custkey || '](fig ' || c_custkey || '.png) b' AS line, (CASE c_custkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 4 END)::INT AS level FROM customer"""
+)
+def figure_marks(spark, sf_dir):
+    """Figure comments as references, and heading levels by the depth of numbers."""
+    k = F.col("c_custkey")
+    quote = lambda a, b: F.concat(F.lit(f"a <!-- 本页含图: {a}fig "), k.cast("string"), F.lit(f"{b} --> b"))
+    line = F.when(k % 3 == 0, quote('"', '"')).when(k % 3 == 1, quote("“", "”")).otherwise(quote("", ""))
+    number = F.element_at(F.array(F.lit("1"), F.lit("1.2"), F.lit("1.2.3")), (k % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.figure_marks(line).alias("line"), text.numbered_heading_level(number).alias("level"))
+
+
+@query(
+    """WITH l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS lineno, l_partkey % 3 > 0 AS is_row FROM lineitem),
+g AS (SELECT *, is_row AND NOT lag(is_row) OVER (PARTITION BY k ORDER BY lineno) AND lag(is_row, 2) OVER (PARTITION BY k ORDER BY lineno) AS cut FROM l) SELECT k, lineno FROM g WHERE cut"""
+)
+def tables_cut(spark, sf_dir):
+    """Places where one line may have cut a table in two."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.row_number().over(w).alias("lineno"), (F.col("l_partkey") % 3 > 0).alias("is_row"))  # noqa: E741
+    return audit.split_tables(l, "k")

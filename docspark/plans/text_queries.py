@@ -106,9 +106,6 @@ def document_lines_escaped(spark, sf_dir):
     return out.select("doc_id", F.md5("text").alias("md"), "n_lines")
 
 
-_SKIP = K.SKIPPED_LINE.replace("\\s", WS)
-
-
 @query(
     rf"""WITH l AS ({_LINES}), t AS (SELECT doc_id, lineno, line, generate_subscripts(k, 1) AS pos, unnest(k) AS token FROM
   (SELECT *, regexp_extract_all(line, '{K.GLUED_TOKEN}') AS k FROM l WHERE NOT regexp_matches(line, '{K.SKIPPED_LINE}')))
@@ -319,3 +316,36 @@ def toc_headings(spark, sf_dir):
     e = c.select(F.col("c_nationkey").alias("k"), k.alias("seq"), F.when(k % 3 == 0, F.concat(F.lit("_Toc"), k % 40)).otherwise(F.lit("")).alias("anchor"), toc.entry_parts(F.concat_ws(" ", number, name)).alias("p"))
     h = c.select(F.col("c_nationkey").alias("k"), k.alias("seq"), F.concat(F.lit("_Toc"), k % 50).alias("anchor"), F.when(k % 5 == 0, F.concat_ws(" ", number, name)).otherwise(name).alias("text"))
     return toc.entries_to_headings(e.select("k", "seq", "anchor", "p.*"), h, "k")
+
+
+
+@query(
+    """SELECT n_regionkey, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS seq, (n_nationkey % 3 + 1)::INT AS level, '_Toc' || n_nationkey AS anchor,
+ n_nationkey || '.1' AS number, n_name AS title, (n_nationkey * 2)::VARCHAR AS page FROM nation"""
+)
+def office_tocs(spark, sf_dir):
+    """Entries of office tables of contents with the pages after their field comments."""
+    n = table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey").cast("string")
+    p = F.concat(F.lit('<p class="MsoToc'), (F.col("n_nationkey") % 3 + 1).cast("string"), F.lit('"><a href="#_Toc'), k, F.lit('">'), k, F.lit(".1 "), F.col("n_name"),
+                 F.lit("....</a><!--[if PAGEREF]><![endif]-->"), (F.col("n_nationkey") * 2).cast("string"), F.lit("</p>"))
+    rows = F.array_sort(F.collect_list(F.struct("n_nationkey", p.alias("p"))))
+    d = n.groupBy("n_regionkey").agg(F.concat_ws("\n", F.transform(rows, lambda r: r["p"])).alias("html"))
+    e = toc.office_entries(d, "n_regionkey", "html").withColumn("parts", toc.entry_parts(F.col("label")))
+    return e.select("n_regionkey", "seq", "level", "anchor", "parts.number", "parts.title", "page")
+
+
+@query("""SELECT n_nationkey, 'a ' || n_name || ' b  c' AS text, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' AS json, repeat('#', (n_nationkey % 3 + 1)::INT) || ' ' || n_name || CASE WHEN n_nationkey % 2 = 0 THEN ' <a id="x' || n_nationkey || '"></a>' ELSE '' END AS heading FROM nation""")
+def placeholders_and_headings(spark, sf_dir):
+    """A table of contents put at the first placeholder, verdicts as JSON, headings with anchors."""
+    from ..sources.markdown_sink import as_json
+
+    n = table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey")
+    anchor = F.when(k % 2 == 0, F.concat(F.lit("x"), k.cast("string")))
+    return n.select(
+        "n_nationkey",
+        toc.placed(F.lit("a @@TOC@@ b @@TOC@@ c"), "@@TOC@@", F.col("n_name")).alias("text"),
+        as_json("n_nationkey", "n_name").alias("json"),
+        text.heading((k % 3 + 1).cast("int"), F.col("n_name"), anchor).alias("heading"),
+    )
