@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from .block_dedup import op6_block_dedup
+from .block_dedup import OP6_SQL, op6_block_dedup
 from .cotraining import op4_cotraining
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .fingerprints import op7_fingerprints
-from .minhash import op3_minhash
+from .minhash import OP3_SQL, op3_minhash
 from .mixing import OP9_SQL, op9_mixing
 from .sampling import op1_sampling
 from .secrets import op5_secrets
-from .suffix_dedup import op2_suffix_dedup
+from .suffix_dedup import OP2_SQL, op2_suffix_dedup
 from .token_counts import op8_token_counts
 
 QUERIES = {
@@ -27,6 +27,9 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_suffix_dedup": OP2_SQL,
+    "op3_minhash": OP3_SQL,
+    "op6_block_dedup": OP6_SQL,
     "op9_mixing": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
 }

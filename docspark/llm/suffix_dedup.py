@@ -389,3 +389,20 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.lower(F.hex("kept")).alias("kept_sha256"),
     )
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS s FROM d)),
+hit AS (SELECT doc_id, s FROM win QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1),
+run AS (SELECT doc_id, s, sum(CASE WHEN s <= last + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS r
+  FROM (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS last FROM hit)),
+span AS (SELECT doc_id, r, min(s) AS a, max(s) + 100 AS b FROM run GROUP BY ALL),
+edge AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_ FROM span),
+parts AS (SELECT d.doc_id, from_ AS o, substr(h, 2 * from_ + 1, 2 * (a - from_)) AS x FROM edge JOIN d USING (doc_id)
+  UNION ALL SELECT d.doc_id, coalesce(e, 0), substr(h, 2 * coalesce(e, 0) + 1) FROM d LEFT JOIN (SELECT doc_id, max(b) AS e FROM span GROUP BY 1) USING (doc_id)),
+kept AS (SELECT doc_id, sha256(unhex(string_agg(x, '' ORDER BY o))) AS kept_sha256 FROM parts GROUP BY 1),
+n AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM span GROUP BY 1)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
