@@ -18,11 +18,13 @@ stretches, which recur; each worker keeps the solved ones.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +32,8 @@ from . import textcore as tc
 from .common import table, text_of
 
 U64 = np.uint64
-#: Stretches that a worker keeps, and code points of text worked on at once.
-KEPT, BATCH = 300_000, 1 << 20
+#: Edges of solved stretches that a worker keeps, and code points of text worked on at once.
+KEPT, BATCH = 6_500_000, 1 << 19
 SPACE = "▁"
 
 
@@ -61,15 +63,16 @@ def load(path: str, sharpness: float = 1.0, rank_shift: float = 10.0) -> dict:
             rank = -sp.get_score(i)
             weights[piece] = (i, (rank_shift + (rank if 0 <= rank <= n else n)) ** -sharpness)
     longest = max(map(len, weights))
+    # For each length the beginnings of pieces, by hash, with the piece that each is or -1.
     by_length: list[tuple] = [()]
     for size in range(1, longest + 1):
-        own = [p for p in weights if len(p) == size]
+        own = sorted({p[:size] for p in weights if len(p) >= size})
         points = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).reshape(-1, size)
         h = np.zeros(len(own), U64)
         for c in tc.mix64(points.astype(U64) + U64(1)).T:
             h = h * U64(tc.MULT) + c
         order = np.argsort(h)
-        ids, w = (np.array([weights[p][x] for p in own])[order] for x in (0, 1))
+        ids, w = (np.array([weights.get(p, (-1, 0.0))[x] for p in own])[order] for x in (0, 1))
         by_length.append((h[order], ids, w))
     return {
         "weights": weights,
@@ -91,11 +94,21 @@ class Lattice:
 
     def clear(self) -> None:
         self.base: dict[str, int] = {}
-        self.first = np.zeros(1, np.int64)
-        self.cum = np.zeros(0)
-        self.log = np.zeros(0)
-        self.to = np.zeros(0, np.int64)
-        self.piece = np.zeros(0, np.int32)
+        self.n_nodes = self.n_edges = 0
+        if not hasattr(self, "first"):
+            # Room for all that is kept from the start: memory is taken only as it is filled.
+            self.first = np.zeros(KEPT // 2, np.int32)
+            self.cum, self.log = np.zeros(KEPT, np.float32), np.zeros(KEPT)
+            self.to, self.piece = np.zeros(KEPT, np.int32), np.zeros(KEPT, np.int32)
+
+    def _room(self, nodes: int, edges: int) -> None:
+        """Tables grow by half if one batch brings more than there is room for."""
+        if nodes + 1 > len(self.first):
+            self.first = np.resize(self.first, max(nodes + 1, len(self.first) * 3 // 2))
+        if edges > len(self.cum):
+            size = max(edges, len(self.cum) * 3 // 2)
+            for name in ("cum", "log", "to", "piece"):
+                setattr(self, name, np.resize(getattr(self, name), size))
 
     def _solve(self, points: np.ndarray, left: np.ndarray, base: int) -> tuple[np.ndarray, ...]:
         """Edges of every node of some stretches, given one after another as code points; left: points to the
@@ -104,25 +117,27 @@ class Lattice:
         n, longest = len(points), m["longest"]
         weight, piece = np.zeros((n, longest)), np.zeros((n, longest), np.int32)
         value = tc.mix64(points.astype(U64) + U64(1))
-        h = np.zeros(n, U64)
+        at, h = np.arange(n), np.zeros(n, U64)
         for size in range(1, longest + 1):
-            at = np.flatnonzero(left >= size)
+            # Only places from which some piece still may go on.
+            go = left[at] >= size
+            at, h = at[go], h[go]
+            h = h * U64(tc.MULT) + value[at + size - 1]
+            hashes, ids, weights = m["by_length"][size]
+            x = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            go = hashes[x] == h
+            at, h, x = at[go], h[go], x[go]
             if not len(at):
+                longest = size
                 break
-            h[at] = h[at] * U64(tc.MULT) + value[at + size - 1]
-            hashes, ids, weights = m["by_length"][size]
-            if len(hashes):
-                x = np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)
-                hit = hashes[x] == h[at]
-                at, x = at[hit], x[hit]
-                weight[at, size - 1], piece[at, size - 1] = weights[x], ids[x]
+            weight[at, size - 1], piece[at, size - 1] = weights[x] * 2.0 ** (8.0 * size), ids[x]
+        weight, piece = weight[:, :longest], piece[:, :longest]
         bare = np.flatnonzero(weight[:, 0] == 0)
         c = points[bare]
-        weight[bare, 0] = m["byte_weight"] ** (1 + (c > 0x7F).astype(int) + (c > 0x7FF) + (c > 0xFFFF))
+        weight[bare, 0] = 2.0**8 * m["byte_weight"] ** (1 + (c > 0x7F).astype(int) + (c > 0x7FF) + (c > 0xFFFF))
         piece[bare, 0] = -1 - c.astype(np.int64)
-        # Weights of all ways to the end, shortest rest first. A factor per point cancels in the chances and
+        # Weights of all ways to the end, shortest rest first. A factor of 256 per point cancels in the chances and
         # keeps the numbers in range, together with a power of two that each node may add.
-        weight *= 2.0 ** (8.0 * np.arange(1, longest + 1))
         ahead, shift = np.ones(n + 1), np.zeros(n + 1, np.int64)
         chance = np.zeros((n, longest))
         order = np.argsort(left, kind="stable")
@@ -142,47 +157,50 @@ class Lattice:
             part, power = np.frexp(total)
             ahead[at], shift[at] = part, sh[:, 0] + power
         # The longest edge comes first: it is mostly the likeliest.
-        chance, piece = chance[:, ::-1], piece[:, ::-1]
-        keep = chance > 0
-        counts = keep.sum(axis=1)
-        cum = np.cumsum(chance, axis=1)[keep]
-        cum[np.cumsum(counts) - 1] = 1.0
-        to = np.arange(n)[:, None] + np.arange(longest, 0, -1)
-        over = to >= (np.arange(n) + left)[:, None]
-        to = np.where(over, -1, to + base)
-        return counts, cum, chance[keep], to[keep], piece[keep]
+        chance = chance[:, ::-1].ravel()
+        keep = np.flatnonzero(chance)
+        chance, piece = chance[keep], piece[:, ::-1].ravel()[keep]
+        node = keep // longest
+        counts = np.bincount(node, minlength=n)
+        last = np.cumsum(counts) - 1
+        sums = np.cumsum(chance)
+        cum = sums - (sums[last] - np.add.reduceat(chance, last + 1 - counts))[node]
+        cum[last] = 1.0
+        size = longest - keep % longest
+        to = np.where(size >= left[node], -1, node + size + base)
+        return counts, cum, chance, to, piece
 
     def nodes_of(self, stretches: list[str]) -> np.ndarray:
         """The first node of each stretch, solving the new ones."""
-        get = self.base.get
-        new = {s for s in stretches if get(s) is None}
-        if len(self.base) + len(new) > KEPT and self.base:
+        def known() -> np.ndarray:
+            return np.fromiter(map(self.base.get, stretches, itertools.repeat(-1)), np.int64, len(stretches))
+
+        nodes = known()
+        missing = np.flatnonzero(nodes < 0).tolist()
+        if missing and self.n_edges > KEPT * 4 // 5:
             self.clear()
-            get = self.base.get
-            new = set(stretches)
+            missing = range(len(stretches))
+        new = dict.fromkeys([stretches[i] for i in missing])
         if new:
-            at, group, size = len(self.first) - 1, [], 0
-            grown = [(self.cum, self.log, self.to, self.piece)]
-            firsts = [self.first]
-            edges = int(self.first[-1])
+            at, group, size = self.n_nodes, [], 0
             todo = list(new)
             for x, s in enumerate(todo):
                 self.base[s] = at + size
                 group.append(s)
                 size += len(s)
-                if size > 1 << 17 or x == len(todo) - 1:
+                if size > 1 << 16 or x == len(todo) - 1:
                     points = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
                     lens = np.array([len(g) for g in group])
                     left = np.repeat(np.cumsum(lens), lens) - np.arange(size)
                     counts, cum, chance, to, piece = self._solve(points, left, at)
-                    firsts.append(edges + np.cumsum(counts))
-                    edges += int(counts.sum())
-                    grown.append((cum, np.log(chance), to, piece))
+                    a, b = self.n_edges, self.n_edges + len(cum)
+                    self._room(at + size, b)
+                    self.first[at + 1 : at + size + 1] = a + np.cumsum(counts)
+                    self.cum[a:b], self.log[a:b], self.to[a:b], self.piece[a:b] = cum, np.log(chance), to, piece
+                    self.n_nodes, self.n_edges = at + size, b
                     at, group, size = at + size, [], 0
-            self.first = np.concatenate(firsts)
-            self.cum, self.log, self.to, self.piece = (np.concatenate(c) for c in zip(*grown))
-            get = self.base.get
-        return np.fromiter(map(get, stretches), np.int64, len(stretches))
+            nodes[missing] = [self.base[stretches[i]] for i in missing]
+        return nodes
 
     def walk(self, nodes: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Walks from each node to the end of its stretch. Edges one walk after another, and how many each has.
@@ -194,7 +212,7 @@ class Lattice:
         while len(at):
             k = tc.mix64(k + U64(0x9E3779B97F4A7C15))
             u = (k >> U64(11)).astype(np.float64) * 2.0**-53
-            e = self.first[at]
+            e = self.first[at].astype(np.int64)
             far = np.flatnonzero(u >= self.cum[e])
             while len(far):
                 e[far] += 1
@@ -266,30 +284,38 @@ def sample_batch(lattice: Lattice, texts: list[str], seeds: np.ndarray, k: int)
         within = place - np.repeat([s.lo for s, *_ in jobs], lens)
         key = tc.mix64(seed[doc] + within.astype(U64) * U64(0xD1342543DE82EF95))
         edges, count = lattice.walk(nodes[place], key)
-        word = np.repeat(np.arange(len(doc)), count)
+        steps = np.concatenate([[0], np.cumsum(count)])
+        begin = steps[np.concatenate([[0], np.cumsum(lens)])]
         log = lattice.log[edges]
-        begin = np.concatenate([[0], np.cumsum(np.bincount(doc[word], minlength=len(jobs)))])
         total = np.concatenate([[0.0], np.cumsum(log)])
-        before = total[:-1] - np.repeat(total[begin[:-1]], np.diff(begin)) + np.repeat([j[3] for j in jobs], np.diff(begin))
-        bound = np.repeat([j[1] for j in jobs], np.diff(begin))
+        before = total[:-1] - np.repeat(total[begin[:-1]], np.diff(begin))
+        # Sets further on hold less than e**-60 of the chance at hand and are not opened before all others.
+        near = np.flatnonzero(before > -60.0)
+        word = np.searchsorted(steps, near, "right") - 1
+        own = doc[word]
+        rest = before[near] + np.array([j[3] for j in jobs])[own]
+        bound = np.array([j[1] for j in jobs])[own]
+        ends_near = np.searchsorted(near, begin)
         with np.errstate(divide="ignore", over="ignore"):
-            rest = before + np.log(-np.expm1(np.minimum(log, 0)))
-            u = _uniform(seed[doc[word]] ^ (U64(0xA0761D6478BD642F) + np.arange(len(edges), dtype=U64) - begin[doc[word]].astype(U64)))
-            value = rest - np.log(np.exp(rest - bound) - np.log(u))
-        value[~np.isfinite(rest)] = -np.inf
+            mass = rest + np.log(-np.expm1(np.minimum(log[near], 0)))
+            u = _uniform(seed[own] ^ (U64(0xA0761D6478BD642F) + near.astype(U64) - begin[own].astype(U64)))
+            value = mass - np.log(np.exp(mass - bound) - np.log(u))
+        value[~np.isfinite(mass)] = -np.inf
         for x, (s, g, prefix, prefix_log, at, _) in enumerate(jobs):
             a, b = int(begin[x]), int(begin[x + 1])
             path = np.concatenate([prefix, edges[a:b]]) if len(prefix) else edges[a:b]
             s.found.append((float(prefix_log + total[b] - total[a]), g, path))
             # Of the sets that leave this walk only as many as there are walks left to find can matter.
-            v = value[a:b]
+            c, d = int(ends_near[x]), int(ends_near[x + 1])
+            v = value[c:d]
             best = np.argpartition(v, len(v) - (k - r))[len(v) - (k - r) :] if len(v) > k - r else np.arange(len(v))
             for t in best.tolist():
                 if v[t] > -np.inf:
                     s.number += 1
-                    where = int(place[word[a + t]])
+                    e = int(near[c + t])
                     heapq.heappush(
-                        s.heap, (-float(v[t]), s.number, len(s.found) - 1, len(prefix) + t, (int(edges[a + t]),), float(before[a + t]), where)
+                        s.heap,
+                        (-float(v[t]), s.number, len(s.found) - 1, len(prefix) + e - a, (int(edges[e]),), float(rest[c + t]), int(place[word[c + t]])),
                     )
     out = []
     for s in searches:
@@ -312,7 +338,7 @@ def _open(lattice: Lattice, s: _Search, r: int) -> tuple:
     path = s.found[parent][2]
     rng = np.random.Generator(np.random.PCG64([s.seed & 0xFFFFFFFF, s.seed >> 32, r]))
     one = left_out[0]
-    node = int(np.searchsorted(lattice.first, one, "right")) - 1
+    node = int(np.searchsorted(lattice.first[: lattice.n_nodes + 1], np.int32(one), "right")) - 1
     options = [e for e in range(int(lattice.first[node]), int(lattice.first[node + 1])) if e not in left_out]
     chances = np.exp(lattice.log[options])
     pick = options[min(int(np.searchsorted(np.cumsum(chances), rng.random() * chances.sum(), "right")), len(options) - 1)]
@@ -357,14 +383,15 @@ def encode(docs: DataFrame, path: str, k: int = 2, seed: int = 1, sharpness: flo
     model = docs.sparkSession.sparkContext.broadcast(load(path, sharpness))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(model.value)
+        # The broadcast value stays with the worker, and with it what was solved in earlier tasks.
+        lattice = model.value.get("lattice") or model.value.setdefault("lattice", Lattice(model.value))
         pieces, of_byte = model.value["pieces"], model.value["bytes"]
 
         def spelled(point: int) -> list[int]:
             return [of_byte[x] for x in chr(point).encode("utf-8", "surrogatepass")]
 
         for b in batches:
-            sizes = np.array([len(t) for t in b.column("text").to_pylist()], np.int64)
+            sizes = pc.utf8_length(b.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
             for i, j in tc.slices(sizes, BATCH):
                 part = b.slice(i, j - i)
                 texts = part.column("text").to_pylist()
