@@ -124,7 +124,8 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 ["id", "n", "shingles"],
             )
 
-    wanted = keyed(docs, 1).select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
+    # A merge join at every size: ids grow with the documents and are not broadcast while they are few.
+    wanted = keyed(docs, 1).select(F.col("doc_id").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")
     return wanted.mapInArrow(make, "id long, n long, shingles binary")
 
 
@@ -169,7 +170,7 @@ def _components(ids: np.ndarray, sets: list[np.ndarray], block: np.ndarray, perc
 
 def links(members: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
     """(a, b) with a < b: star edges of the components found in each bucket, confirmed on full sets."""
-    rows = members.join(sets, "id")
+    rows = members.hint("merge").join(sets, "id")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "shingles")
@@ -273,7 +274,7 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, **options) -> DataFrame:
     """The rows of ``docs`` that :func:`near_duplicates` keeps, with all their columns."""
-    kept = near_duplicates(docs, percent, **options).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    kept = near_duplicates(docs, percent, **options).where("kept").select(F.col("doc_id").alias("_id")).distinct().hint("merge")
     return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_id"]), "left_semi")
 
 
