@@ -102,7 +102,7 @@ def dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 def drop_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The rows of ``docs`` that :func:`dedup` keeps, with all their columns."""
-    kept = dedup(docs, index).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    kept = dedup(docs, index).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).hint("merge")
     text = text_of(docs)
     rows = docs.withColumn("_sha", F.sha2(F.translate(text, _BLANKS, ""), 256)).withColumn("_id", docs["doc_id"].cast("long"))
     same = rows["_id"].eqNullSafe(kept["_id"]) & (rows["_sha"] == kept["_sha"])

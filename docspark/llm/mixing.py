@@ -115,7 +115,7 @@ def _mix(rows: DataFrame, weights, share, cap, seed) -> DataFrame:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as :func:`mix` takes it, with all their columns."""
     taken = mix(docs, **options).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    taken = taken.agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
+    taken = taken.agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0").hint("merge")
     rows = docs.withColumn("_rid", docs["doc_id"].cast("long")).withColumn("_rhash", F.xxhash64(text_of(docs)))
     # Rows that repeat an id and a text share what all of them were taken for.
     rows = rows.join(taken, rows["_rid"].eqNullSafe(F.col("_id")) & (F.col("_rhash") == F.col("_hash")))
