@@ -239,7 +239,7 @@ def near_duplicates(
 
     Documents are linked if 100 * intersection >= percent * union of their sets of word
     shingles (see :func:`shingle_sets`). Candidates share a band of the circulant
-    signature; with 25 bands of 5 a pair at 80 % is missed once in 30,000 times, at 85 %
+    signature; with 25 bands of 5 a pair at 80 % is missed once in 20,000 times, at 85 %
     once in two million. component_id is the smallest doc_id reachable over links, itself
     included, and kept says that it is the document's own. Equal sets are reduced to one
     before banding. Texts without words are linked with nothing. Null text counts as
