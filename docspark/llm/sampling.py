@@ -20,6 +20,8 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
+import random
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -233,9 +235,29 @@ class Lattice:
 
 def stretches(text: str) -> list[str]:
     """The text with a leading space, spaces as U+2581, cut where no piece crosses."""
-    import re
+    if not text:
+        return []
+    if "  " in text or text[0] == " " or SPACE in text:
+        # Spaces in a row may share a piece.
+        return _STRETCH.findall(SPACE + text.replace(" ", SPACE))
+    out: list[str] = []
+    for i, line in enumerate(text.split("\n")):
+        if i:
+            out.append("\n")
+        words = line.split(" ")
+        if i == 0:
+            out += [SPACE + w for w in words]
+        else:
+            # Nothing is added in front of the first word of a line.
+            if words[0]:
+                out.append(words[0])
+            out += [SPACE + w for w in words[1:]]
+    if text[0] == "\n":
+        out[0] = SPACE
+    return out
 
-    return re.findall(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n", SPACE + text.replace(" ", SPACE)) if text else []
+
+_STRETCH = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
 
 def _gumbel(u: np.ndarray | float) -> np.ndarray | float:
@@ -336,28 +358,33 @@ def _open(lattice: Lattice, s: _Search, r: int) -> tuple:
     value, _, parent, step, left_out, before, where = heapq.heappop(s.heap)
     bound = -value
     path = s.found[parent][2]
-    rng = np.random.Generator(np.random.PCG64([s.seed & 0xFFFFFFFF, s.seed >> 32, r]))
+    draw = random.Random(s.seed * 1_000_003 + r).random
     one = left_out[0]
     node = int(np.searchsorted(lattice.first[: lattice.n_nodes + 1], np.int32(one), "right")) - 1
     options = [e for e in range(int(lattice.first[node]), int(lattice.first[node + 1])) if e not in left_out]
-    chances = np.exp(lattice.log[options])
-    pick = options[min(int(np.searchsorted(np.cumsum(chances), rng.random() * chances.sum(), "right")), len(options) - 1)]
+    chances = [math.exp(lattice.log[e]) for e in options]
+    u, pick = draw() * sum(chances), options[-1]
+    for e, c in zip(options, chances):
+        u -= c
+        if u < 0:
+            pick = e
+            break
     rest = [e for e in options if e != pick]
     if rest:
         # What is left at this step stays a set of its own, below the bound of this one.
-        mass = before + math.log(max(float(np.exp(lattice.log[rest]).sum()), 1e-300))
-        g = mass - math.log(math.exp(min(mass - bound, 700.0)) - math.log(rng.random() or 1e-300))
+        mass = before + math.log(max(sum(c for e, c in zip(options, chances) if e != pick), 1e-300))
+        g = mass - math.log(math.exp(min(mass - bound, 700.0)) - math.log(draw() or 1e-300))
         s.number += 1
         heapq.heappush(s.heap, (-g, s.number, parent, step, (*left_out, pick), before, where))
     prefix, log = [*path[:step].tolist(), pick], before + float(lattice.log[pick])
     at = int(lattice.to[pick])
     while at >= 0:
         a, b = int(lattice.first[at]), int(lattice.first[at + 1])
-        e = a + min(int(np.searchsorted(lattice.cum[a:b], rng.random(), "right")), b - a - 1)
+        e = a + min(int(np.searchsorted(lattice.cum[a:b], np.float32(draw()), "right")), b - a - 1)
         others = -math.expm1(min(float(lattice.log[e]), 0.0))
         if others > 0:
             mass = log + math.log(others)
-            g = mass - math.log(math.exp(min(mass - bound, 700.0)) - math.log(rng.random() or 1e-300))
+            g = mass - math.log(math.exp(min(mass - bound, 700.0)) - math.log(draw() or 1e-300))
             s.number += 1
             # The walk this belongs to is the next one found.
             heapq.heappush(s.heap, (-g, s.number, len(s.found), len(prefix), (e,), log, where))
