@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import table, text_of
+from .common import cut, table, text_of
 
 SOURCES, LANGS, LENGTHS = 64, 16, 24
 STATS = 16
 COLUMNS = ("text", "lang", "source", "n_chars")
+#: Steps into which the range of a view's scores is cut to find its most extreme documents.
+BINS = 4096
 
 
 def text_features(texts: list[str]) -> np.ndarray:
@@ -95,10 +97,10 @@ class View:
         return np.clip(self.slope * (self.design(x) @ self.weights) + self.shift, -30, 30)
 
 
-def _sums(design: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Gram matrix with the targets as a further column, and the rows counted."""
+def _sums(design: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0) -> np.ndarray:
+    """Gram matrix with the targets as a further column, and the weights of rows added up."""
     full = np.concatenate([design, y[:, None]], axis=1)
-    return full.T @ full
+    return full.T @ (full * np.reshape(weight, (-1, 1)))
 
 
 def _solve(sums: np.ndarray, ridge: float) -> np.ndarray:
@@ -118,6 +120,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 25)
     return w
 
 
+def reliance(odds: np.ndarray, y: np.ndarray, least: float = 0.05) -> float:
+    """How much a view's order of good before bad rows is worth: 1 if all pairs are right, ``least`` if only half are."""
+    _, at, n = np.unique(odds, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(n) - (n - 1) / 2)[at]
+    good = int(y.sum())
+    right = (rank[y == 1].sum() - good * (good + 1) / 2) / max(good * (len(y) - good), 1)
+    return max(least, 2 * right - 1)
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-z))
 
@@ -154,14 +165,16 @@ def _inputs(docs: DataFrame, *more: Column) -> DataFrame:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, rounds: int = 2, sure: float = 0.98, ridge: float = 3.0
+    docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, rounds: int = 2, share: float = 0.1, ridge: float = 3.0
 ) -> Model:
     """Trains both views. Labelled rows are at most ``most_labelled``, those of the smallest hash of doc_id.
 
     A fifth of them calibrates. In each round every document without a label among them is
-    scored by both views, and each view learns from all that the other is ``sure`` of,
-    together weighing no more than the labelled rows. What the rounds add up is sums of
-    fixed size, over all documents. Null labels and ids are passed over; of repeated labels of one
+    scored by both views, and each view learns from the ``share`` of them that the other
+    one places furthest at its two ends, split between the ends as the labels are between
+    the kinds. Together they weigh no more than the labelled rows times the :func:`reliance`
+    of the lending view, so that weak metadata lend rows without drowning the labels. Features are
+    worked out once and written; what the rounds add up over them is of fixed size. Null labels and ids are passed over; of repeated labels of one
     document the lowest counts; without labels of both kinds the model gives
     every document the share of good labels (1 if there are none).
     """
@@ -178,18 +191,16 @@ def fit(
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(known)
 
-    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("doc_id").to_pylist()
-            keep = [i for i, x in enumerate(ids) if x in shared.value]
-            if keep:
-                own = b.take(pa.array(keep))
-                text, page = _feature_rows(own)
-                y = [shared.value[ids[i]] for i in keep]
+            for a in range(0, b.num_rows, 512):
+                piece = b.slice(a, 512)
+                ids = piece.column("doc_id").to_pylist()
+                text, page = _feature_rows(piece)
                 yield pa.record_batch(
                     [
-                        pa.array([ids[i] for i in keep], pa.int64()),
-                        pa.array(y, pa.int32()),
+                        piece.column("doc_id"),
+                        pa.array([shared.value.get(i) for i in ids], pa.int32()),
                         pa.array([x.tobytes() for x in text], pa.binary()),
                         pa.array([x.tobytes() for x in page], pa.binary()),
                     ],
@@ -197,11 +208,12 @@ def fit(
                 )
 
     inputs = _inputs(docs, docs["doc_id"].cast("long").alias("doc_id"))
-    rows = inputs.mapInArrow(labelled, "doc_id long, y int, text binary, page binary").toArrow()
+    features = cut(inputs.mapInArrow(featured, "doc_id long, y int, text binary, page binary"))
+    rows = features.where("y IS NOT NULL").toArrow()
     if not rows.num_rows or len(set(rows.column("y").to_pylist())) < 2:
         return Model([], np.zeros(3), float(np.mean(rows.column("y").to_pylist() or [1])))
     y = rows.column("y").to_numpy().astype(float)
-    x = [np.stack([np.frombuffer(v, np.float32) for v in rows.column(c).to_pylist()]).astype(float) for c in ("text", "page")]
+    x = [v.astype(float) for v in _unpacked(rows)]
     held = tc.mix64(rows.column("doc_id").to_numpy().view(np.uint64)) % np.uint64(5) == 0
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.ones(len(y), bool)
@@ -218,35 +230,98 @@ def fit(
 
     for v, s, f in zip(views, own, x):
         settle(v, s, f)
+    new = features.where("y IS NULL").select("text", "page")
     for _ in range(rounds):
-        lent = _exchange(inputs, shared, views, sure)
+        lent = _exchange(new, views, share, float(y.mean()))
         if lent is None:
             break
-        for v, s, f, more in zip(views, own, x, lent):
+        trust = [reliance(v.log_odds(f[held]), y[held]) for v, f in zip(views, x)]
+        for v, s, f, more, t in zip(views, own, x, lent, trust[::-1]):
             # The constant's square counts rows.
-            weight = min(1.0, s[-2, -2] / max(more[-2, -2], 1.0))
+            weight = t * min(1.0, s[-2, -2] / max(more[-2, -2], 1.0))
             settle(v, s + weight * more, f)
     logits = np.stack([v.log_odds(f[held]) for v, f in zip(views, x)], axis=1)
     return Model(views, logistic(logits, y[held], ridge=1.0))
 
 
-def _exchange(inputs: DataFrame, known, views: list[View], sure: float) -> list[np.ndarray] | None:
-    """For each view the sums of all unlabelled documents that the other one is sure of."""
+def _unpacked(rows) -> list[np.ndarray]:
+    """The features of both views, one row each."""
+    return [np.frombuffer(b"".join(rows.column(c).to_pylist()), np.float32).reshape(rows.num_rows, -1) for c in ("text", "page")]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    for b in batches:
+        for a in range(0, b.num_rows, 512):
+            yield _unpacked(b.slice(a, 512))
+
+
+def _bins(odds: np.ndarray, low: float, high: float) -> np.ndarray:
+    return np.minimum((odds - low) * (BINS / (high - low)), BINS - 1).astype(int)
+
+
+def _ends(counts: np.ndarray, bad: float, good: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each bin the part of its rows among the ``bad`` lowest of all, and among the ``good`` highest.
+
+    Rows of the bin at the edge, as equal scores are, all count in part.
+    """
+    n = np.maximum(counts, 1)
+    up = np.clip(bad - (np.cumsum(counts) - counts), 0, counts) / n
+    down = np.clip(good - (np.cumsum(counts[::-1])[::-1] - counts), 0, counts) / n
+    return up, down
+
+
+def _exchange(new: DataFrame, views: list[View], share: float, prior: float) -> list[np.ndarray] | None:
+    """For each view the sums of the ``share`` of unlabelled documents that lie furthest at the other one's ends.
+
+    ``prior`` of the share is taken as good from the top of the other view's own scores, the rest as bad from their
+    bottom, however sure that view is. A view that scores all documents alike lends nothing.
+    """
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [[np.inf, -np.inf], [np.inf, -np.inf]]
+        for x in _pieces(batches):
+            for e, v, f in zip(ends, views, x):
+                odds = v.log_odds(f)
+                e[:] = min(e[0], odds.min()), max(e[1], odds.max())
+        yield pa.record_batch([pa.array([e[k]]) for e in ends for k in (0, 1)], names)
+
+    names = ["text_low", "text_high", "page_low", "page_high"]
+    found = new.mapInArrow(reach, ", ".join(f"{c} double" for c in names)).agg(
+        *[(F.max if c.endswith("high") else F.min)(c).alias(c) for c in names]
+    ).first()
+    if found is None or found[0] is None or found[0] > found[1]:
+        return None
+    spans = [(found[2 * k], found[2 * k + 1]) for k in (0, 1)]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, BINS), np.int64)
+        for x in _pieces(batches):
+            for k, (v, f, (low, high)) in enumerate(zip(views, x, spans)):
+                if low < high:
+                    total[k] += np.bincount(_bins(v.log_odds(f), low, high), minlength=BINS)
+        k, at = np.nonzero(total)
+        yield pa.record_batch([pa.array(k, pa.int32()), pa.array(at, pa.int32()), pa.array(total[k, at])], ["view", "bin", "n"])
+
+    counts = np.zeros((2, BINS))
+    for r in new.mapInArrow(count, "view int, bin int, n long").groupBy("view", "bin").agg(F.sum("n").alias("n")).collect():
+        counts[r["view"], r["bin"]] = r["n"]
+    wanted = share * counts.sum(axis=1)
+    ends = [_ends(c, (1 - prior) * m, prior * m) for c, m in zip(counts, wanted)]
     sizes = [len(v.mean) + 2 for v in views]
-    edge = np.log(sure / (1 - sure))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros((n, n)) for n in sizes]
-        for b in batches:
-            for a in range(0, b.num_rows, 512):
-                piece = b.slice(a, 512)
-                x = _feature_rows(piece)
-                new = np.array([i not in known.value for i in piece.column("doc_id").to_pylist()])
-                odds = [v.log_odds(f) for v, f in zip(views, x)]
-                for k in (0, 1):
-                    use = new & (np.abs(odds[1 - k]) >= edge)
+        for x in _pieces(batches):
+            for k in (0, 1):
+                low, high = spans[1 - k]
+                if low == high:
+                    continue
+                at = _bins(views[1 - k].log_odds(x[1 - k]), low, high)
+                for target, part in zip((-1.0, 1.0), ends[1 - k]):
+                    weight = part[at]
+                    use = weight > 0
                     if use.any():
-                        total[k] += _sums(views[k].design(x[k][use]), np.sign(odds[1 - k][use]))
+                        total[k] += _sums(views[k].design(x[k][use]), np.full(use.sum(), target), weight[use])
         yield _total(total)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,11 +333,9 @@ def _exchange(inputs: DataFrame, known, views: list[View], sure: float) -> list[
         yield _total(total)
 
     kind = "text binary, page binary"
-    parts = inputs.mapInArrow(learn, kind)
+    parts = new.mapInArrow(learn, kind)
     # Sums of fixed size, added up in two steps.
     some = parts.repartition(16).mapInArrow(add, kind).toArrow().to_pylist()
-    if not some:
-        return None
     return [sum(np.frombuffer(r[c]).reshape(sizes[k], -1) for r in some) for k, c in enumerate(("text", "page"))]
 
 

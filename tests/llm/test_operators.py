@@ -280,6 +280,33 @@ def test_cotraining(spark):
     assert none.where("quality_score < 1").count() == 0
 
 
+def test_cotraining_with_weak_metadata_lends_both_ways(spark, monkeypatch):
+    random.seed(8)
+    rows, labels = [], []
+    for i in range(1200):
+        bad = i % 4 == 0
+        words = ["".join(random.choice("abcdefgh") for _ in range(random.randint(2, 8))) for _ in range(20)]
+        source = "ab"[random.random() < (0.6 if bad else 0.4)]
+        rows.append((i, " ".join(w.upper() + "!!" if bad else w for w in words), source))
+        if i % 3:
+            labels.append((i, 0 if bad else 1))
+    lent, exchange = [], cotraining._exchange
+    monkeypatch.setattr(cotraining, "_exchange", lambda *a: lent.append(exchange(*a)) or lent[-1])
+    d = frame(spark, rows)
+    model = cotraining.fit(d, spark.createDataFrame(labels, "doc_id long, quality int"))
+    for sums in lent:
+        for s in sums:
+            n, tilt = s[-2, -2], s[-2, -1]
+            assert n == pytest.approx(40) and (n + tilt) / 2 == pytest.approx(30, abs=0.1)
+    got = {r["doc_id"]: r["quality_score"] for r in cotraining.scored(d, model).collect()}
+    assert sum((got[i] >= 0.5) == (i % 4 != 0) for i in range(0, 1200, 3)) / 400 > 0.97
+
+
+def test_cotraining_ends_count_equal_scores_in_part():
+    low, high = cotraining._ends(np.array([4.0, 0, 2, 10]), 5, 3)
+    assert low.tolist() == [1, 0, 0.5, 0] and high.tolist() == [0, 0, 0, 0.3]
+
+
 def test_empty_tables(nothing):
     assert suffix_dedup.repeated(nothing).count() == 0
     assert block_dedup.repeated(nothing).count() == 0
