@@ -12,7 +12,7 @@ from .common import input_bytes, keyed, real_id, table
 
 U64 = np.uint64
 #: A shared run of GRAM + WINDOW - 1 code points always leaves a shared fingerprint.
-GRAM, WINDOW = 16, 64
+GRAM, WINDOW = 8, 16
 _PIECE = 1 << 19
 
 

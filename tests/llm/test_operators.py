@@ -190,6 +190,19 @@ def test_fingerprints(docs, rows):
     assert got[101]["fingerprint"] == ""
 
 
+def test_short_texts_stay_near_their_edit(spark):
+    """A shared run of 23 code points leaves a shared fingerprint, however short the text."""
+    random.seed(6)
+    say = lambda n: "".join(random.choice("abcdefghij klmnop") for _ in range(n))
+    texts = [say(n) for n in range(32, 80) for _ in range(4)]
+    got = fingerprints.fingerprints(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
+    assert len(got) == len(texts) and all(0 < r["near_edited"] <= 1 for r in got)
+    assert len({r["near_edited"] for r in got}) > 5
+    passage = say(23)
+    a, b = (fingerprints.winnow(fingerprints._points(say(200) + passage + say(150)))[0] for _ in range(2))
+    assert fingerprints.likeness(np.unique(a), np.unique(b)) > 0
+
+
 def test_winnowing_by_brute_force(monkeypatch):
     random.seed(2)
     for n in (1, 5, 16, 17, 80, 400):
