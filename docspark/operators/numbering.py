@@ -30,20 +30,25 @@ def effective_levels(abstract: DataFrame, redefined: DataFrame) -> DataFrame:
 
 
 def style_numbering(styles: DataFrame, depth: int = 16) -> DataFrame:
-    """(style_id, num_id, ilvl): the first style along ``based_on`` that has a num_id; cycles end at ``depth``.
+    """(style_id, num_id, ilvl): the first style along ``based_on`` that has a num_id; a cycle gives none.
 
-    styles: style_id, based_on, num_id, ilvl. There are as many rounds as the longest chain, over styles only.
+    styles: style_id, based_on, num_id, ilvl. There are as many rounds as the longest chain, over styles only; after
+    each ``depth`` of them it is looked whether a chain is still open.
     """
     found = styles.where("num_id IS NOT NULL").select("style_id", "num_id", F.coalesce("ilvl", F.lit(0)).alias("ilvl"))
-    open_ = styles.where("num_id IS NULL AND based_on IS NOT NULL").select("style_id", F.col("based_on").alias("next"))
+    more = (F.col("num_id").isNull()) & F.col("based_on").isNotNull()
+    open_ = styles.where(more).select("style_id", F.col("based_on").alias("next"), F.array("style_id").alias("seen"))
     step = styles.select(F.col("style_id").alias("next"), "based_on", "num_id", "ilvl")
-    for _ in range(depth):
-        reached = open_.join(step, "next")
-        found = found.unionByName(
-            reached.where("num_id IS NOT NULL").select("style_id", "num_id", F.coalesce("ilvl", F.lit(0)).alias("ilvl"))
-        )
-        open_ = reached.where("num_id IS NULL AND based_on IS NOT NULL").select("style_id", F.col("based_on").alias("next"))
-    return found
+    while True:
+        for _ in range(depth):
+            reached = open_.where(~F.array_contains("seen", F.col("next"))).join(step, "next")
+            found = found.unionByName(
+                reached.where("num_id IS NOT NULL").select("style_id", "num_id", F.coalesce("ilvl", F.lit(0)).alias("ilvl"))
+            )
+            seen = F.array_append("seen", F.col("next")).alias("seen")
+            open_ = reached.where(more).select("style_id", F.col("based_on").alias("next"), seen)
+        if open_.isEmpty():
+            return found
 
 
 def paragraph_numbering(paragraphs: DataFrame, styles: DataFrame) -> DataFrame:

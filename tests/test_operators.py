@@ -130,3 +130,11 @@ def test_user_patterns_win(spark):
     d = spark.createDataFrame([("abc, def",), ("第一章",), ("text",)], "t string")
     level = layout.heading_level(F.col("t"), F.lit(10.0), F.lit(False), F.lit(10.0), ["^abc"])
     assert [r[0] for r in d.select(level).collect()] == [2, 3, None]
+
+
+def test_style_numbering_follows_the_whole_chain(spark):
+    rows = [(k, k - 1 if k else None, None if k else 7, None) for k in range(20)]
+    rows += [(50, 51, None, None), (51, 52, None, None), (52, 51, None, None)]
+    styles = spark.createDataFrame(rows, "style_id long, based_on long, num_id long, ilvl int")
+    got = {r["style_id"]: (r["num_id"], r["ilvl"]) for r in numbering.style_numbering(styles).collect()}
+    assert got == {k: (7, 0) for k in range(20)}
