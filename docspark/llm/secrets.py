@@ -21,7 +21,7 @@ BASE = (
     # A run of hex digits is matched whole or not at all, so short runs can be passed over by the pattern itself.
     ("hex", None, r"[0-9a-f]{32,}", None, 32),
 )
-#: Parts that say little alone. A weak secret also needs both cases and a digit.
+#: Parts that say little alone. A weak secret also needs a letter and a digit.
 WEAK = (
     (
         "link_id",
@@ -43,7 +43,7 @@ def _found(text: Column, kind: str, needs: str | None, pattern: str, measured: s
 
     def counts(m: Column) -> Column:
         if kind == "link_secret":
-            return m.rlike("[0-9]") & m.rlike("[a-z]") & m.rlike("[A-Z]")
+            return m.rlike("[0-9]") & m.rlike("[A-Za-z]")
         return F.length(F.regexp_extract(m, measured, 2) if measured else m) >= least
 
     each = F.transform(

@@ -177,6 +177,13 @@ def test_secrets(spark):
     assert kinds == [["link_id", "link_secret", "link_endpoint"], [], []]
 
 
+def test_secrets_of_one_case_are_linked(spark):
+    uuid = "3f2b8c1e-9d47-4a6b-8e21-5c0d7f9a1b34"
+    texts = [f"client_id=acme key {uuid} at https://h.example/x", f"{uuid} alone", "user: bob key " + "-" * 24 + " at https://h.example/x"]
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.scan(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert got == {0: ["link_id", "link_secret", "link_endpoint"], 1: [], 2: []}
+
+
 def test_fingerprints(docs, rows):
     got = {r["doc_id"]: r for r in fingerprints.fingerprints(docs).collect()}
     for at, (i, t, _) in enumerate(rows):
