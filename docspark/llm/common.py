@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none."""
+    """The folder that all executors share. A machine-local one is taken only by a session that runs in one process."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = os.path.join(tempfile.gettempdir(), "docspark-checkpoints")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
@@ -52,6 +55,16 @@ def parts_for(df: DataFrame, bytes_each: int) -> int:
     return max(own, -(-input_bytes(df) // bytes_each))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct ``row``, so that no column added beside it can clash with one of them."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns]).alias("row")
+
+
+def row_order(df: DataFrame) -> Column:
+    """A hash of the whole ``row``: decides between rows that agree in all that matters. Maps cannot be hashed."""
+    return F.lit(0) if "map<" in df.schema["row"].dataType.simpleString() else F.xxhash64("row")
+
+
 def text_of(df: DataFrame) -> Column:
     return F.coalesce(df["text"].cast("string"), F.lit(""))
 
