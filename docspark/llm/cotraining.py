@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import cut, table, text_of
+from .common import cut, table, text_of, whole_row
 
 SOURCES, LANGS, LENGTHS = 64, 16, 24
 STATS = 16
 COLUMNS = ("text", "lang", "source", "n_chars")
 #: Steps into which the range of a view's scores is cut to find its most extreme documents.
 BINS = 4096
+#: Sums (0.7 MB a row) that one task, or the driver at the end, adds up.
+FAN_IN = 16
 
 
 def text_features(texts: list[str]) -> np.ndarray:
@@ -333,9 +335,12 @@ def _exchange(new: DataFrame, views: list[View], share: float, prior: float) ->
         yield _total(total)
 
     kind = "text binary, page binary"
-    parts = new.mapInArrow(learn, kind)
-    # Sums of fixed size, added up in two steps.
-    some = parts.repartition(16).mapInArrow(add, kind).toArrow().to_pylist()
+    parts, n = new.mapInArrow(learn, kind), new.rdd.getNumPartitions()
+    # One row of fixed size per task, added up FAN_IN at a time: a tree as deep as the logarithm of the tasks.
+    while n > FAN_IN:
+        n = -(-n // FAN_IN)
+        parts = parts.repartition(n).mapInArrow(add, kind)
+    some = parts.toArrow().to_pylist()
     return [sum(np.frombuffer(r[c]).reshape(sizes[k], -1) for r in some) for k, c in enumerate(("text", "page"))]
 
 
@@ -344,7 +349,17 @@ def _total(total: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with further columns p_text, p_page and quality_score; nulls count as empty text or a value of their own."""
+    """``docs`` with further columns p_text, p_page and quality_score, which take the place of such columns of its own.
+
+    Nulls count as empty text or a value of their own. A model of one kind of labels gives all documents one score.
+    """
+    own = [c for c in docs.columns if c not in ("p_text", "p_page", "quality_score")]
+    return _scored(docs, model).select(*[F.col(f"row.`{c}`") for c in own], "score.*")
+
+
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """(row, score): every row of ``docs`` as a struct beside its scores."""
+
     @F.pandas_udf("p_text double, p_page double, quality_score double")
     def score(text, lang, source, n):
         import pandas as pd
@@ -359,14 +374,15 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         return pd.DataFrame(flat, columns=["p_text", "p_page", "quality_score"])
 
     s = score(text_of(docs), docs["lang"].cast("string"), docs["source"].cast("string"), docs["n_chars"].cast("long"))
-    own = docs.columns
-    out = docs.withColumn("_score", s)
-    return out.select(*[F.col(f"`{c}`") for c in own], "_score.p_text", "_score.p_page", "_score.quality_score")
+    return docs.select(whole_row(docs), s.alias("score"))
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose quality_score is at least ``least``, with all their columns."""
-    return scored(docs, model).where(F.col("quality_score") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` whose quality_score is at least ``least``, with all their columns.
+
+    A model of one kind of labels keeps all rows, if those are good ones, or none.
+    """
+    return _scored(docs, model).where(F.col("score.quality_score") >= least).select("row.*")
 
 
 def op4_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
