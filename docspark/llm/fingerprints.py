@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,8 @@ U64 = np.uint64
 #: A shared run of GRAM + WINDOW - 1 code points always leaves a shared fingerprint.
 GRAM, WINDOW = 8, 16
 _PIECE = 1 << 19
+#: Runs of neighbouring documents into which the whole table is cut at most.
+MOST_PARTS = 1 << 16
 
 
 def winnow(points: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -61,42 +65,42 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def with_next(docs: DataFrame, bytes_each: int = 2 << 20) -> DataFrame:
-    """keyed() documents in ``part``s of neighbouring ids; the first of the next part (after the last, of the
-    first) comes along with ``halo``.
+    """keyed() documents in ``part``s of neighbours by (doc_id, th), in the order (part, halo, doc_id, th) within
+    each partition; the first of the next part (after the last, of the first) comes along with ``halo``.
 
-    The parts start at ids that are approximate quantiles, as many as the input has
-    portions of ``bytes_each`` bytes; like the bounds of a range partitioning they are
-    held by the driver.
+    There are as many parts as the input has portions of ``bytes_each`` bytes, but MOST_PARTS at
+    most, so the driver and each task hold at most that many first rows (16 bytes each). Parts
+    are read as a stream: they may be of any size, and rows of one id may lie in several.
     """
     rows = keyed(docs, 1).drop("grp")
-    n = max(1, -(-input_bytes(docs) // bytes_each))
-    at = F.percentile_approx("doc_id", [x / n for x in range(n)] if n > 1 else [0.0, 0.0], F.lit(max(10_000, 20 * n)))
-    least, most = rows.agg(F.min("doc_id"), at).first()
-    starts = np.unique(np.array([least, *(most or [])] if least is not None else [0], np.int64))
+    n = min(MOST_PARTS, max(1, -(-input_bytes(docs) // bytes_each)))
+    dealt = rows.select("doc_id", "th").repartitionByRange(n, "doc_id", "th")
+    first = dealt.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.min(F.struct("doc_id", "th")).alias("first"))
+    first = [tuple(r) for r in first.select("first.*").collect()] or [(0, 0)]
+    starts = np.unique(_ordered(*np.array(first, np.int64).T))
 
-    def place(batches):
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy()
-            k = np.searchsorted(starts, ids, "right") - 1
-            halo = np.where(starts[k] == ids, (k - 1) % len(starts), -1)
-            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(k, pa.int32()), pa.array(halo, pa.int32())], names)
+            keys = _ordered(b.column(0).to_numpy(), b.column(1).to_numpy())
+            k = np.searchsorted(starts, keys, "right") - 1
+            halo = np.where(starts[k] == keys, (k - 1) % len(starts), -1)
+            yield pa.record_batch([*b.columns[:3], pa.array(k, pa.int32()), pa.array(halo, pa.int32())], names)
 
     names = ["doc_id", "th", "text", "part", "next_to"]
     placed = rows.mapInArrow(place, "doc_id long, th long, text string, part int, next_to int")
-    return placed.select(
-        F.explode(
-            F.filter(
-                F.array(
-                    F.struct(F.col("part").alias("part"), F.lit(False).alias("halo")),
-                    F.struct(F.col("next_to").alias("part"), F.lit(True).alias("halo")),
-                ),
-                lambda s: s["part"] >= 0,
-            )
-        ).alias("to"),
-        "doc_id",
-        "th",
-        "text",
-    ).select("to.part", "to.halo", "doc_id", "th", "text")
+    copies = F.array(
+        F.struct(F.col("part").alias("part"), F.lit(False).alias("halo")),
+        F.struct(F.col("next_to").alias("part"), F.lit(True).alias("halo")),
+    )
+    copies = placed.select(F.explode(F.filter(copies, lambda s: s["part"] >= 0)).alias("to"), "doc_id", "th", "text")
+    dealt = copies.select("to.part", "to.halo", "doc_id", "th", "text").repartition("part")
+    return dealt.sortWithinPartitions("part", "halo", "doc_id", "th")
+
+
+def _ordered(ids: np.ndarray, ths: np.ndarray) -> np.ndarray:
+    """Pairs of numbers as strings of 16 bytes in the same order."""
+    both = np.stack([ids, ths], axis=1).astype(np.int64).view(U64) ^ U64(1 << 63)
+    return both.astype(">u8").view("S16").ravel()
 
 
 RESULT = pa.schema(
@@ -116,34 +120,40 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _compare(t: pa.Table) -> pa.Table:
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document beside the next one of its part; the row with ``halo`` comes after the last. One is held at a time."""
     import hashlib
 
-    t = t.sort_by([("halo", "ascending"), ("doc_id", "ascending"), ("th", "ascending")])
-    own = t.num_rows - sum(t.column("halo").to_pylist())
-    ids, texts = t.column("doc_id"), t.column("text")
-    rows = {f.name: [] for f in RESULT}
-    text = texts[0].as_py() if own else None
-    h, p = winnow(_points(text)) if own else (None, None)
-    for i in range(own):
-        after = texts[i + 1].as_py()
-        n = len(text)
-        edited = text[: n - n // 4] + after[: n // 4]
-        eh, ep = winnow(_points(edited))
-        nh, np_ = winnow(_points(after))
-        mine = np.unique(h)
-        rows["doc_id"].append(ids[i].as_py())
-        rows["n_chars"].append(n)
-        rows["edited_sha256"].append(hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest())
-        rows["fingerprint"].append(written(h, p))
-        rows["edited_fingerprint"].append(written(eh, ep))
-        rows["near_edited"].append(likeness(mine, np.unique(eh)))
-        rows["near_next"].append(likeness(mine, np.unique(nh)))
-        text, h, p = after, nh, np_
-    return pa.table(rows, schema=RESULT)
-
-
-def fingerprints(docs: DataFrame) -> DataFrame:
+    rows: dict[str, list] = {f.name: [] for f in RESULT}
+    size, part, before = 0, None, None
+    for b in batches:
+        for p, halo, doc_id, _, after in zip(*(c.to_pylist() for c in b.columns)):
+            if p != part:
+                part, before = p, None
+            elif before is None:
+                # Rows that repeat the first of the next part.
+                continue
+            h, places = winnow(_points(after))
+            if before is not None:
+                own_id, text, mine, fingerprint, m = before
+                n = len(text)
+                edited = text[: n - n // 4] + after[: n // 4]
+                eh, ep = winnow(_points(edited))
+                values = (
+                    own_id, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint,
+                    written(eh, ep), likeness(mine, np.unique(eh)), likeness(mine, np.unique(h)),
+                )
+                for c, v in zip(rows.values(), values):
+                    c.append(v)
+                size += m
+                if size > _PIECE:
+                    yield pa.RecordBatch.from_pydict(rows, schema=RESULT)
+                    rows, size = {f.name: [] for f in RESULT}, 0
+            before = None if halo else (doc_id, after, np.unique(h), written(h, places), len(after) + 16)
+    yield pa.RecordBatch.from_pydict(rows, schema=RESULT)
+
+
+def fingerprints(docs: DataFrame, bytes_each: int = 2 << 20) -> DataFrame:
     """One row per document with its fingerprint, that of its edited text, and their likeness.
 
     The edited text has its last floor(n_chars / 4) code points replaced by as many (or
@@ -152,11 +162,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     doc_id follow each other by a hash of their text. A lone document is its own next
     one. An empty table gives an empty result; further columns are ignored.
     """
-    out = with_next(docs).groupBy("part").applyInArrow(
-        _compare,
-        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string,"
-        " near_edited double, near_next double",
-    )
+    kind = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    out = with_next(docs, bytes_each).mapInArrow(_compare, kind)
     return out.withColumn("doc_id", real_id(F.col("doc_id")))
 
 
