@@ -219,10 +219,11 @@ def components(edges: DataFrame) -> DataFrame:
     was = state(edges)
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # Written, so that the join exchanges both sides anew and a node with very many neighbours can be split.
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
         large = cut(large)
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        least = cut(large.groupBy("b").agg(F.min("a").alias("m")))
         hung = large.join(least, "b")
         small = hung.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a < b").unionAll(least.select(F.col("m").alias("a"), "b"))
         edges = cut(small.distinct())
