@@ -16,7 +16,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of each group of equal texts."""
-    return exact_dedup.drop_copies(docs, exact_dedup.new_index(docs, "pipeline_exact"))
+    index = exact_dedup.new_index(docs, "pipeline_exact")
+    kept = exact_dedup.drop_copies(docs, index)
+    index.drop()
+    return kept
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
