@@ -64,14 +64,35 @@ def near_components(docs, percent=85, size=5):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-def base_secrets(text):
+def _base(text):
     patterns = (
         ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), lambda m: len(m[2]) >= 8),
         ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),
         ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 32),
     )
-    found = [(m.start(), n, f"{k}:{m.start()}:{m.end()}") for n, (k, p, ok) in enumerate(patterns) for m in p.finditer(text or "") if ok(m)]
-    return hashlib.sha256(",".join(x[2] for x in sorted(found)).encode()).hexdigest()
+    return sorted((m.start(), n, m.end(), k) for n, (k, p, ok) in enumerate(patterns) for m in p.finditer(text or "") if ok(m))
+
+
+def base_secrets(text):
+    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in _base(text)).encode()).hexdigest()
+
+
+def linked_secrets(text, scope=200):
+    """All spans (kind, start, end), those of linked weak parts too, by looking at every pair of parts."""
+    base = _base(text)
+    patterns = {
+        "link_id": r"""(?i:access_?key_?id|client_?id|account_?id|key_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""",
+        "link_secret": r"[A-Za-z0-9+/_-]{20,}",
+        "link_endpoint": r"""(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\x20\x09-\x0D"'<>]+""",
+    }
+    weak = [(m.start(), k, m.end()) for k, p in patterns.items() for m in re.finditer(p, text, re.A)]
+    weak = [x for x in weak if x[1] != "link_secret" or re.search("[0-9]", text[x[0] : x[2]]) and re.search("[A-Za-z]", text[x[0] : x[2]])]
+    weak = [x for x in weak if not any(a <= x[0] < b for a, _, b, _ in base)]
+    ids = [a for a, _, _, k in base if k == "access"] + [x[0] for x in weak if x[1] == "link_id"]
+    keys = [a for a, _, _, k in base if k != "access"] + [x[0] for x in weak if x[1] == "link_secret"]
+    near = lambda a, others: any(abs(a - b) <= scope for b in others)
+    needs = {"link_id": [keys], "link_secret": [ids], "link_endpoint": [ids, keys]}
+    return {(k, a, b) for a, _, b, k in base} | {(k, a, b) for a, k, b in weak if all(near(a, o) for o in needs[k])}
 
 
 def fingerprint(text, gram, window, hashes):
