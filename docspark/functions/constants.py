@@ -87,6 +87,13 @@ LEGAL_DIGITS = "壹贰叁肆伍陆柒捌玖"
 LEGAL_UNITS = "拾佰仟"
 IDEOGRAPHS = "〇一二三四五六七八九"
 CIRCLED = ((1, 20, 0x2460), (21, 35, 0x3251), (36, 50, 0x32B1))
+ONES = (
+    "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen",
+    "fifteen", "sixteen", "seventeen", "eighteen", "nineteen",
+)
+TENS = ("ten", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
+#: Ordinals that aren't made by their ending alone.
+ORDINALS = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
 AIUEO = "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわゐゑをん"
 IROHA = "いろはにほへとちりぬるをわかよたれそつねならむうゐのおくやまけふこえてあさきゆめみしゑひもせす"
 

@@ -13,10 +13,7 @@ FORMATS = (
     "cardinalText", "hex",
 )
 
-_ONES = ("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
-         " eighteen nineteen").split()
-_TENS = "ten twenty thirty forty fifty sixty seventy eighty ninety".split()
-_ORDINALS = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
+ONES, TENS, ORDINALS = K.ONES, K.TENS, K.ORDINALS
 
 
 def _pick(words, i: Column) -> Column:
@@ -73,13 +70,13 @@ def cardinal(n: Column) -> Column:
 
     def below_hundred(x: Column) -> Column:
         one = x % 10
-        tail = F.when(one > 0, F.concat(F.lit("-"), _pick(_ONES, one))).otherwise(F.lit(""))
-        return F.when(x < 20, _pick(_ONES, x)).otherwise(F.concat(_pick(_TENS, F.floor(x / 10)), tail))
+        tail = F.when(one > 0, F.concat(F.lit("-"), _pick(ONES, one))).otherwise(F.lit(""))
+        return F.when(x < 20, _pick(ONES, x)).otherwise(F.concat(_pick(TENS, F.floor(x / 10)), tail))
 
     def below_thousand(x: Column) -> Column:
         rest = x % 100
         tail = F.when(rest > 0, F.concat(F.lit(" and "), below_hundred(rest))).otherwise(F.lit(""))
-        return F.when(x < 100, below_hundred(x)).otherwise(F.concat(_pick(_ONES, F.floor(x / 100)), F.lit(" hundred"), tail))
+        return F.when(x < 100, below_hundred(x)).otherwise(F.concat(_pick(ONES, F.floor(x / 100)), F.lit(" hundred"), tail))
 
     rest = n % 1000
     tail = F.when(rest > 0, F.concat(F.lit(" "), below_thousand(rest))).otherwise(F.lit(""))
@@ -93,7 +90,7 @@ def ordinal_words(n: Column) -> Column:
     last = F.regexp_extract(words, r"([a-z]+)$", 1)
     head = F.substring(words, F.lit(1), F.length(words) - F.length(last))
     changed = F.when(last.endswith("y"), F.concat(F.regexp_replace(last, "y$", ""), F.lit("ieth"))).otherwise(F.concat(last, F.lit("th")))
-    for plain, special in _ORDINALS.items():
+    for plain, special in ORDINALS.items():
         changed = F.when(last == plain, F.lit(special)).otherwise(changed)
     return F.when(last == "", n.cast("string")).otherwise(F.concat(head, changed))
 

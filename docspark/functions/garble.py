@@ -6,18 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as K
-from .text import without_spaces
-
-
-def counters(text: Column) -> Column:
-    """struct<n, n_invalid, n_latin>: characters that are no white space, invalid ones (with (cid:N) marks), Latin-1 ones."""
-    s = without_spaces(text)
-    cid = F.aggregate(F.regexp_extract_all(text, F.lit(K.CID), F.lit(0)), F.lit(0), lambda a, x: a + F.length(x))
-    return F.struct(
-        F.length(s).alias("n"),
-        (F.regexp_count(s, F.lit(K.INVALID_CHARS)) + cid).alias("n_invalid"),
-        F.regexp_count(s, F.lit(K.LATIN_CHARS)).alias("n_latin"),
-    )
 
 
 def reasons(n: Column, n_invalid: Column, n_latin: Column, top: Column, n_top: Column, mojibake: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import numbered_heading_level
+
 
 def overlap(a: DataFrame, b: DataFrame, key: str, item: str) -> DataFrame:
     """(key, n_a, n_b, n_both, share): how much of a's items, as a multiset, b has."""
@@ -58,6 +60,14 @@ def column_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("ragged", F.col("n_widths") > 1)
 
 
+def heading_depths(headings: DataFrame) -> DataFrame:
+    """Adds expected, and keeps the rows whose level differs: numbered headings are as deep as their number.
+    headings: level, text and further columns."""
+    number = F.regexp_extract("text", r"^(\d+(?:\.\d+)*)\.?(?:\s|$)", 1)
+    rows = headings.withColumn("expected", F.when(number != "", numbered_heading_level(number)))
+    return rows.where("expected <> level")
+
+
 def split_tables(rows: DataFrame, key: str) -> DataFrame:
     """Table lines after one other line that follows a table line: a table may have been cut there. rows: key, lineno, is_row."""
     w = Window.partitionBy(key).orderBy("lineno")
@@ -81,9 +91,14 @@ def reconciled(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("equal", F.col("n_a") == F.col("n_b"))
 
 
-def missing_names(required: DataFrame, present: DataFrame, column: str, key) -> DataFrame:
-    """Rows of ``required`` none of whose alternatives is present, compared by ``key``. required: id, column."""
-    have = present.select(key(F.col(column)).alias("_key")).distinct()
+def missing_names(required: DataFrame, present: DataFrame | list[DataFrame], column: str, key) -> DataFrame:
+    """Rows of ``required`` none of whose alternatives is present, compared by ``key``. required: id, column. What is
+    present may come from several places, as fonts do."""
+    have = None
+    for place in present if isinstance(present, list) else [present]:
+        names = place.select(key(F.col(column)).alias("_key"))
+        have = names if have is None else have.unionAll(names)
+    have = have.distinct()
     found = required.withColumn("_key", key(F.col(column))).join(have, "_key", "left_semi").select("id").distinct()
     return required.join(found, "id", "left_anti")
 

@@ -109,6 +109,13 @@ def category_counts(images: DataFrame) -> DataFrame:
     return images.groupBy("category").agg(F.count("*").alias("n"))
 
 
+def category_summary(images: DataFrame) -> DataFrame:
+    """(summary): one row that names the categories with their counts, the largest first."""
+    entries = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), "category", "n")))
+    line = F.concat_ws(" | ", F.transform(entries, lambda e: F.concat_ws(": ", e["category"], e["n"].cast("string"))))
+    return category_counts(images).agg(line.alias("summary"))
+
+
 def text_of_rows(rows: DataFrame, key: str) -> DataFrame:
     """(key, text): boxes of a row joined by spaces, rows by line feeds."""
     line = F.array_sort(F.collect_list(F.struct("x0", "seq", "text")))

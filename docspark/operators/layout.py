@@ -149,3 +149,20 @@ def full_page_image(images: DataFrame, keys: list[str], cover: float = K.FULL_PA
     """Per page the image that covers at least ``cover`` of it, the largest by cover and area. images: keys, img, cover, area."""
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("cover"), F.desc("area"), "img"))
     return images.where(F.col("cover") >= cover).withColumn("_n", nth).where("_n = 1").drop("_n")
+
+
+def extraction_summary(pages: DataFrame, headings: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_pages, n_tables, fallback_pages, garbled_pages, n_footers, n_headings): what came out of a document.
+
+    pages: keys, page, n_tables, falls_back, garbled, has_footer. headings: keys, level; those of level 2 count.
+    """
+    pick = lambda c: F.array_sort(F.collect_list(F.when(F.col(c), F.col("page"))))
+    out = pages.groupBy(*keys).agg(
+        F.count("*").alias("n_pages"),
+        F.coalesce(F.sum("n_tables"), F.lit(0)).alias("n_tables"),
+        pick("falls_back").alias("fallback_pages"),
+        pick("garbled").alias("garbled_pages"),
+        F.count_if("has_footer").alias("n_footers"),
+    )
+    chapters = headings.where("level = 2").groupBy(*keys).agg(F.count("*").alias("n_headings"))
+    return out.join(chapters, keys, "left").withColumn("n_headings", F.coalesce("n_headings", F.lit(0)))

@@ -27,10 +27,11 @@ def with_fences(lines: DataFrame, key: str) -> DataFrame:
     return lines.withColumn("in_code", F.coalesce(F.sum(F.col("is_fence").cast("int")).over(above), F.lit(0)) % 2 == 1)
 
 
-def joined(lines: DataFrame, key: str, column: str = "line", name: str = "text") -> DataFrame:
-    """Lines put together in order; the array is as large as the document."""
+def joined(lines: DataFrame, key: str, column: str = "line", name: str = "text", count: str | None = None) -> DataFrame:
+    """Lines put together in order, and their number as ``count`` if that is named; the array is as large as the document."""
     pairs = F.array_sort(F.collect_list(F.struct("lineno", column)))
-    return lines.groupBy(key).agg(F.concat_ws("\n", F.transform(pairs, lambda p: p[column])).alias(name))
+    text = F.concat_ws("\n", F.transform(pairs, lambda p: p[column])).alias(name)
+    return lines.groupBy(key).agg(text, *([F.count("*").alias(count)] if count else []))
 
 
 def without_indents(lines: DataFrame, key: str) -> DataFrame:

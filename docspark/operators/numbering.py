@@ -7,6 +7,7 @@ that was never used shows its start, one that was reset shows 0.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,65 +17,119 @@ from ..functions.counters import counter
 LEVELS = 9
 
 
-def effective_levels(abstract: DataFrame, redefined: DataFrame) -> DataFrame:
-    """(num_id, ilvl, start, fmt, lvl_text, restart, is_lgl, override): a list's own definition of a level goes
-    before the abstract one.
+def effective_levels(abstract: DataFrame, redefined: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, num_id, ilvl, start, fmt, lvl_text, restart, is_lgl, override): a list's own definition of a level goes
+    before the abstract one, as a whole if it defines the level anew.
 
-    abstract: num_id, ilvl, start, fmt, lvl_text, restart, is_lgl. redefined: the same columns and override, null
-    where the list says nothing.
+    abstract: keys, num_id, ilvl, start, fmt, lvl_text, restart, is_lgl; keys name the document, as every document
+    counts its lists from 1. redefined: the same columns and override, null where the list says nothing.
     """
     columns = ("start", "fmt", "lvl_text", "restart", "is_lgl")
-    r = redefined.select("num_id", "ilvl", "override", *[F.col(c).alias(f"r_{c}") for c in columns])
-    both = abstract.join(r, ["num_id", "ilvl"], "full_outer")
-    return both.select("num_id", "ilvl", *[F.coalesce(f"r_{c}", c).alias(c) for c in columns], "override")
+    on = [*keys, "num_id", "ilvl"]
+    r = redefined.select(*on, "override", *[F.col(c).alias(f"r_{c}") for c in columns])
+    both = abstract.join(r, on, "full_outer")
+    return both.select(*on, *[F.coalesce(f"r_{c}", c).alias(c) for c in columns], "override")
 
 
-def style_numbering(styles: DataFrame, depth: int = 16) -> DataFrame:
-    """(style_id, num_id, ilvl): the first style along ``based_on`` that has a num_id; a cycle gives none.
+def style_numbering(styles: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, style_id, num_id, ilvl): the first style along ``based_on`` that has a num_id; a cycle gives none.
 
-    styles: style_id, based_on, num_id, ilvl. There are as many rounds as the longest chain, over styles only; after
-    each ``depth`` of them it is looked whether a chain is still open.
+    styles: keys (document), style_id, based_on, num_id, ilvl. Chains are followed to their end, each style once, one
+    document's styles at a time. Of styles that repeat an id the first by based_on, num_id and ilvl counts.
     """
-    found = styles.where("num_id IS NOT NULL").select("style_id", "num_id", F.coalesce("ilvl", F.lit(0)).alias("ilvl"))
-    more = (F.col("num_id").isNull()) & F.col("based_on").isNotNull()
-    open_ = styles.where(more).select("style_id", F.col("based_on").alias("next"), F.array("style_id").alias("seen"))
-    step = styles.select(F.col("style_id").alias("next"), "based_on", "num_id", "ilvl")
-    while True:
-        for _ in range(depth):
-            reached = open_.where(~F.array_contains("seen", F.col("next"))).join(step, "next")
-            found = found.unionByName(
-                reached.where("num_id IS NOT NULL").select("style_id", "num_id", F.coalesce("ilvl", F.lit(0)).alias("ilvl"))
-            )
-            seen = F.array_append("seen", F.col("next")).alias("seen")
-            open_ = reached.where(more).select("style_id", F.col("based_on").alias("next"), seen)
-        if open_.isEmpty():
-            return found
-
-
-def paragraph_numbering(paragraphs: DataFrame, styles: DataFrame) -> DataFrame:
+
+    def follow(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.astype(object).where(t.notna(), None)
+        rows = sorted(zip(t["style_id"], t["based_on"], t["num_id"], t["ilvl"]), key=lambda r: [(x is None, "" if x is None else x) for x in r[1:]])
+        own: dict = {}
+        for name, *rest in rows:
+            own.setdefault(name, rest)
+        found: dict = {name: (num, level or 0) for name, (_, num, level) in own.items() if num is not None}
+        for name in own:
+            path, at = {}, name
+            while at in own and at not in found and at not in path:
+                path[at] = None
+                at = own[at][0]
+            end = found.get(at) if at is not None else None
+            for x in path:
+                found[x] = end
+        keep = [(name, *found[name]) for name in own if found[name] is not None]
+        out = pd.DataFrame(keep, columns=["style_id", "num_id", "ilvl"])
+        for i, k in enumerate(keys):
+            out.insert(i, k, [t[k].iloc[0]] * len(out))
+        return out
+
+    kind = dict(styles.dtypes)
+    schema = ", ".join(f"`{c}` {kind[c]}" for c in [*keys, "style_id", "num_id", "ilvl"])
+    return styles.select(*keys, "style_id", "based_on", "num_id", "ilvl").groupBy(*keys).applyInPandas(follow, schema)
+
+
+def paragraph_numbering(paragraphs: DataFrame, styles: DataFrame, keys: list[str]) -> DataFrame:
     """Adds num_id and ilvl: a paragraph's own numbering if it has any, else its style's.
 
-    paragraphs: has_numpr, own_num_id, own_ilvl, style_id and further columns. Paragraphs whose own numbering
-    names no list get none; num_id 0, deleted and fallback paragraphs are left out.
+    paragraphs: keys (document), has_numpr, own_num_id, own_ilvl, style_id and further columns. Paragraphs whose own
+    numbering names no list get none; num_id 0 is left out, as are deleted and fallback paragraphs where these columns are.
     """
-    s = styles.select("style_id", F.col("num_id").alias("s_num_id"), F.col("ilvl").alias("s_ilvl"))
-    p = paragraphs.join(s, "style_id", "left")
+    s = styles.select(*keys, "style_id", F.col("num_id").alias("s_num_id"), F.col("ilvl").alias("s_ilvl"))
+    for c in ("deleted", "fallback"):
+        if c in paragraphs.columns:
+            paragraphs = paragraphs.where(~F.coalesce(F.col(c), F.lit(False)))
+    p = paragraphs.join(s, [*keys, "style_id"], "left")
     p = p.withColumn("num_id", F.when(F.col("has_numpr"), F.col("own_num_id")).otherwise(F.col("s_num_id")))
     p = p.withColumn("ilvl", F.coalesce(F.when(F.col("has_numpr"), F.col("own_ilvl")).otherwise(F.col("s_ilvl")), F.lit(0)))
     return p.where("num_id IS NOT NULL AND num_id <> 0").drop("s_num_id", "s_ilvl")
 
 
+def document_numbers(paragraphs: DataFrame, levels: DataFrame, styles: DataFrame, keys: list[str]) -> DataFrame:
+    """Numbered paragraphs with their number and abstract_id, from the tables of a package reader; keys name the document.
+
+    levels: keys, num_id, abstract_id, ilvl, start, fmt, lvl_text, restart, is_lgl, override, own.
+    """
+    numbered = paragraph_numbering(paragraphs, style_numbering(styles, keys), keys)
+    own = F.coalesce(F.col("own"), F.lit(False))
+    spec = effective_levels(levels.where(~own).drop("override", "own", "abstract_id"), levels.where(own), keys)
+    names = levels.groupBy(*keys, "num_id").agg(F.first("abstract_id", ignorenulls=True).alias("abstract_id"))
+    return numbers(numbered, spec, [*keys, "num_id"]).join(names, [*keys, "num_id"], "left")
+
+
+def by_abstract_list(numbered: DataFrame, keys: list[str], abstract_id: str) -> tuple[DataFrame, DataFrame]:
+    """The paragraphs of one abstract list, and of the others (keys, abstract_id, n, n_in_table, n_outside): how many there are.
+
+    numbered: keys, num_id, abstract_id, number, in_table. Paragraphs that show no number count on neither side.
+    """
+    # An array of at most one number: a filter on the number would be taken through all windows by the optimizer,
+    # which then takes minutes to plan.
+    one = F.array_compact(F.array("number"))
+    shown = numbered.select(*[c for c in numbered.columns if c != "number"], F.explode(one).alias("number"))
+    mine = F.col("abstract_id").eqNullSafe(F.lit(abstract_id))
+    inside = F.coalesce(F.col("in_table"), F.lit(False))
+    others = shown.where(~mine).groupBy(*keys, "abstract_id")
+    return shown.where(mine), others.agg(F.count("*").alias("n"), F.count_if(inside).alias("n_in_table"), F.count_if(~inside).alias("n_outside"))
+
+
 def level_values(paragraphs: DataFrame, levels: DataFrame, keys: list[str], depth: int = LEVELS) -> DataFrame:
     """Adds v0, v1, ... the counters of all levels after each paragraph.
 
     paragraphs: keys (document and list), seq, ilvl. levels: keys, ilvl, start, restart, override. One exchange and
     one sort: every window has the same partitioning and order.
     """
-    one = F.map_from_entries(
-        F.collect_list(F.struct(F.col("ilvl"), F.struct("start", "restart", "override").alias("d")))
-    )
-    spec = levels.groupBy(*keys).agg(one.alias("spec"))
-    p = paragraphs.join(spec, keys, "left")
+    return _values(paragraphs.join(_spec(levels, keys, ["start", "restart", "override"]), keys, "left"), keys, depth).drop("spec")
+
+
+def numbers(paragraphs: DataFrame, levels: DataFrame, keys: list[str], depth: int = LEVELS) -> DataFrame:
+    """:func:`level_values` and :func:`rendered` with one join for both; the counters are left out."""
+    spec = _spec(levels, keys, ["start", "restart", "override", "fmt", "lvl_text", "is_lgl"])
+    p = _rendered(_values(paragraphs.join(spec, keys, "left"), keys, depth), depth)
+    return p.drop(*[f"v{k}" for k in range(depth)])
+
+
+def _spec(levels: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys, spec): a list's levels as a map."""
+    one = F.map_from_entries(F.collect_list(F.struct(F.col("ilvl"), F.struct(*columns).alias("d"))))
+    return levels.groupBy(*keys).agg(one.alias("spec"))
+
+
+def _values(p: DataFrame, keys: list[str], depth: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("seq")
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     level, t = F.col("ilvl"), F.row_number().over(w)
@@ -112,7 +167,7 @@ def level_values(paragraphs: DataFrame, levels: DataFrame, keys: list[str], dept
             .cast("int")
         )
     p = p.withColumns(out)
-    return p.select(*[c for c in p.columns if not c.startswith("_") and c != "spec"])
+    return p.select(*[c for c in p.columns if not c.startswith("_")])
 
 
 def rendered(values: DataFrame, levels: DataFrame, keys: list[str], depth: int = LEVELS) -> DataFrame:
@@ -121,23 +176,20 @@ def rendered(values: DataFrame, levels: DataFrame, keys: list[str], depth: int =
     levels: keys, ilvl, fmt, lvl_text, is_lgl. Bullets and levels without a number give null; a level with is_lgl
     shows all counters as decimals.
     """
-    spec = levels.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("ilvl"), F.struct("fmt", "lvl_text", "is_lgl").alias("d")))).alias("spec")
-    )
-    p = values.join(spec, keys, "left")
+    return _rendered(values.join(_spec(levels, keys, ["fmt", "lvl_text", "is_lgl"]), keys, "left"), depth)
+
+
+def _rendered(p: DataFrame, depth: int) -> DataFrame:
     own = F.element_at(F.col("spec"), F.col("ilvl"))
     each = []
     for k in range(depth):
         fmt = F.when(own["is_lgl"], F.lit("decimal")).otherwise(F.coalesce(F.col("spec")[k]["fmt"], F.lit("decimal")))
-        each.append(F.struct(F.col(f"v{k}").alias("v"), fmt.alias("fmt")))
-    # The formats are one expression inside the lambda, not one for each level.
-    texts = F.transform(F.array(*each), lambda x: counter(x["v"], x["fmt"]))
-    p = p.withColumn("_texts", texts)
-    text = own["lvl_text"]
-    for k in range(depth):
-        text = F.replace(text, F.lit(f"%{k + 1}"), F.get("_texts", F.lit(k)))
+        each.append(F.struct(F.lit(f"%{k + 1}").alias("mark"), F.col(f"v{k}").alias("v"), fmt.alias("fmt")))
+    # The formats are one expression inside the lambda, and the texts are used in one place, so that a filter on the
+    # number does not multiply them in the plan.
+    text = F.aggregate(F.array(*each), own["lvl_text"], lambda text, x: F.replace(text, x["mark"], counter(x["v"], x["fmt"])))
     shown = ~own["fmt"].isin("bullet", "none")
-    return p.withColumn("number", F.when(shown, text)).drop("spec", "_texts")
+    return p.withColumn("number", F.when(shown, text)).drop("spec")
 
 
 def take_in_order(items: DataFrame, numbers: DataFrame, keys: list[str]) -> DataFrame:

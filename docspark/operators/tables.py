@@ -115,6 +115,22 @@ def sheet_title(c: Column) -> Column:
     return F.struct(strip(F.get(parts, 0)).alias("title"), F.concat_ws("\n", rest).alias("description"))
 
 
+def sheet_markdown(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, md): a sheet as one text: the title, its description, and each section's heading and table.
+
+    cells: as for :func:`sectioned`. The first cell of row 1 is the title. Rows before the first heading are a table
+    without one; a sheet without rows has its title only.
+    """
+    top = cells.where("r = 1").select(*keys, sheet_title(F.coalesce(F.get("texts", 0), F.lit(""))).alias("_top"))
+    heading = F.when(F.col("heading").isNotNull(), F.concat(F.lit("## "), F.col("heading")))
+    part = F.concat_ws("\n\n", heading, F.nullif("table", F.lit("")))
+    parts = F.array_sort(F.collect_list(F.struct("section", part.alias("md"))))
+    body = sectioned(cells, keys).groupBy(*keys).agg(F.concat_ws("\n\n", F.transform(parts, lambda p: p["md"])).alias("_body"))
+    title = F.concat(F.lit("# "), F.col("_top.title"))
+    md = F.concat_ws("\n\n", title, F.nullif("_top.description", F.lit("")), F.nullif("_body", F.lit("")))
+    return top.join(body, keys, "left").select(*keys, F.concat(md, F.lit("\n")).alias("md"))
+
+
 def merged_across_pages(tables: DataFrame, keys: list[str]) -> DataFrame:
     """Adds merged: number of the table that a table continues. Neighbours with one header and no text between
     them are one. tables: keys, tbl in order, header, gap (lines between it and the table before)."""

@@ -204,3 +204,49 @@ def front_matters(spark, sf_dir):
         F.when(k % 3 == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.lit(1).cast("bigint"), k.cast("bigint"))).alias("missing"),
     )
     return layout.front_matter(d, "2020-01-01").select("s_suppkey", "header")
+
+
+# Boxes whose rows rise and fall across the image, so that a row's mean moves with each box.
+_SLANT = """SELECT l_orderkey % 500 AS img, l_linenumber * 1000000 + l_partkey * 10 + l_orderkey // 500 % 10 AS seq, (l_partkey % 300)::DOUBLE AS x0, (l_linenumber % 3 * 60 + l_partkey % 300 // 25)::DOUBLE AS y0 FROM lineitem"""
+
+
+@query(
+    f"""WITH b AS ({_SLANT}) SELECT DISTINCT img, seq, x0, y0, dense_rank() OVER (PARTITION BY img ORDER BY floor(y0 / 60)) AS row FROM b"""
+)
+def slanting_rows(spark, sf_dir):
+    """Rows of boxes that lie up to twelve points apart in one row and at least 48 in two."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    k, p = F.col("l_orderkey"), F.col("l_partkey")
+    y = F.col("l_linenumber") % 3 * 60 + F.floor(p % 300 / 25)
+    b = l.select(
+        (k % 500).alias("img"), (F.col("l_linenumber") * 1000000 + p * 10 + F.floor(k / 500) % 10).alias("seq"), (p % 300).cast("double").alias("x0"), y.cast("double").alias("y0"),
+        (p % 300 + 9).cast("double").alias("x1"), (y + 10).cast("double").alias("y1"), F.lit("t").alias("text"),
+    ).distinct()
+    return boxes.rows_of_boxes(b, "img").select("img", "seq", "x0", "y0", F.col("row").cast("bigint").alias("row"))
+
+
+_TRIAGED = """SELECT CASE l_suppkey % 7 WHEN 0 THEN 'table' WHEN 1 THEN 'text' WHEN 2 THEN 'text' ELSE 'image' END AS category FROM lineitem"""
+
+
+@query(f"SELECT string_agg(category || ': ' || n, ' | ' ORDER BY n DESC, category) AS summary FROM (SELECT category, count(*) AS n FROM ({_TRIAGED}) GROUP BY 1)")
+def image_summary(spark, sf_dir):
+    k = F.col("l_suppkey") % 7
+    kind = F.when(k == 0, F.lit("table")).when(k < 3, F.lit("text")).otherwise(F.lit("image"))
+    return boxes.category_summary(table(spark, sf_dir, "lineitem").select(kind.alias("category")))
+
+
+@query(
+    """WITH p AS (SELECT o_custkey % 40 AS doc, o_orderkey AS page, (o_orderkey % 4)::INT AS n_tables, o_orderkey % 50 = 0 AS falls_back, o_orderkey % 70 = 1 AS garbled, o_orderkey % 3 > 0 AS has_footer FROM orders),
+h AS (SELECT c_custkey % 45 AS doc, count(*) AS n FROM customer WHERE c_custkey % 3 = 1 GROUP BY 1)
+SELECT doc, count(*) AS n_pages, sum(n_tables)::BIGINT AS n_tables, coalesce(list_sort(list(page) FILTER (falls_back)), []) AS fallback_pages, coalesce(list_sort(list(page) FILTER (garbled)), []) AS garbled_pages,
+ count(*) FILTER (has_footer) AS n_footers, coalesce(max(n), 0) AS n_headings FROM p LEFT JOIN h USING (doc) GROUP BY doc"""
+)
+def extraction_summaries(spark, sf_dir):
+    """What came out of documents whose pages are orders."""
+    k = F.col("o_orderkey")
+    pages = table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") % 40).alias("doc"), k.alias("page"), (k % 4).cast("int").alias("n_tables"), (k % 50 == 0).alias("falls_back"), (k % 70 == 1).alias("garbled"), (k % 3 > 0).alias("has_footer")
+    )
+    c = F.col("c_custkey")
+    headings = table(spark, sf_dir, "customer").select((c % 45).alias("doc"), (c % 3 + 1).alias("level"))
+    return layout.extraction_summary(pages, headings, ["doc"])

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import counters, text
 from ..operators import audit, blocks, layout, lines, numbering, tables
+from ..sources import office
 from .registry import query, table
 
 WS = K.WS
@@ -69,8 +75,7 @@ SELECT num_id, seq, ilvl, string_agg({_SHOWN}, '.' ORDER BY k) AS number FROM x
 def list_numbers(spark, sf_dir):
     """The number that each paragraph shows."""
     p, levels = _lists(spark, sf_dir)
-    values = numbering.level_values(p, levels, ["num_id"], _DEPTH)
-    return numbering.rendered(values, levels, ["num_id"], _DEPTH).select("num_id", "seq", "ilvl", "number")
+    return numbering.numbers(p, levels, ["num_id"], _DEPTH).select("num_id", "seq", "ilvl", "number")
 
 
 @query(
@@ -93,23 +98,119 @@ def _counters(spark, sf_dir, formats):
     return n.select("v", "fmt", counters.counter(F.col("v"), F.col("fmt")).alias("shown"))
 
 
-@query()
+_ORDINAL_ONES = tuple(counters.ORDINALS.get(w, w + "th") for w in counters.ONES)
+_ORDINAL_TENS = tuple("tenth" if w == "ten" else w[:-1] + "ieth" for w in counters.TENS)
+# The words of 1 to 99, of which the last is an ordinal in the second form.
+_BELOW = f"CASE WHEN x < 20 THEN {list(counters.ONES)}[x] ELSE {list(counters.TENS)}[x // 10] || CASE WHEN x % 10 > 0 THEN '-' || {list(counters.ONES)}[x % 10] ELSE '' END END"
+_BELOW_TH = f"CASE WHEN x < 20 THEN {list(_ORDINAL_ONES)}[x] WHEN x % 10 = 0 THEN {list(_ORDINAL_TENS)}[x // 10] ELSE {list(counters.TENS)}[x // 10] || '-' || {list(_ORDINAL_ONES)}[x % 10] END"
+
+
+def _chinese(digits: str, units: str) -> str:
+    """SQL for the numerals of 14 to 199."""
+    tens = f"CASE WHEN v // 10 % 10 > 0 THEN CASE WHEN v < 20 THEN '' ELSE substr('{digits}', v // 10 % 10, 1) END || '{units[0]}' ELSE '0' END"
+    full = f"CASE WHEN v >= 100 THEN substr('{digits}', v // 100, 1) || '{units[1]}' ELSE '' END || {tens} || CASE WHEN v % 10 > 0 THEN substr('{digits}', v % 10, 1) ELSE '0' END"
+    return f"regexp_replace(regexp_replace({full}, '0+$', ''), '0+', '{K.CN_ZERO}')"
+
+
+@query(
+    f"""WITH n AS (SELECT DISTINCT l_linenumber * 13 + l_quantity::INT AS v, (l_linenumber * 13 + l_quantity::INT) % 100 AS x FROM lineitem),
+w AS (SELECT v, CASE WHEN v <= 26 THEN chr(96 + v) ELSE chr(96 + (v - 1) // 26) || chr(97 + (v - 1) % 26) END AS "lowerLetter", lower({_ROMAN}) AS "lowerRoman", {_ROMAN} AS "upperRoman",
+ {_chinese(K.CN_DIGITS, K.CN_UNITS)} AS "chineseCountingThousand", {_chinese(K.LEGAL_DIGITS, K.LEGAL_UNITS)} AS "chineseLegalSimplified",
+ substr('{K.AIUEO}', (v - 1) % {len(K.AIUEO)} + 1, 1) AS "aiueo", substr('{K.IROHA}', (v - 1) % {len(K.IROHA)} + 1, 1) AS "iroha",
+ CASE WHEN v >= 100 THEN 'one hundred' || CASE WHEN x > 0 THEN ' and ' || {_BELOW} ELSE '' END ELSE {_BELOW} END AS "cardinalText",
+ CASE WHEN x = 0 THEN 'one hundredth' WHEN v >= 100 THEN 'one hundred and ' || {_BELOW_TH} ELSE {_BELOW_TH} END AS "ordinalText" FROM n)
+UNPIVOT w ON "lowerLetter", "lowerRoman", "upperRoman", "chineseCountingThousand", "chineseLegalSimplified", "aiueo", "iroha", "cardinalText", "ordinalText" INTO NAME fmt VALUE shown"""
+)
 def counter_words(spark, sf_dir):
-    """All formats; the words are held against lists in the tests."""
-    return _counters(spark, sf_dir, counters.FORMATS)
+    """The other formats: letters, numerals and words."""
+    return _counters(spark, sf_dir, ("lowerLetter", "lowerRoman", "upperRoman", "chineseCountingThousand", "chineseLegalSimplified", "aiueo", "iroha", "cardinalText", "ordinalText"))
+
+
+# Styles of 25 documents, each with ids of its own kind: chains that halve, and in every fifth one a single long chain; some end in a cycle.
+_STYLES = """SELECT c_custkey % 25 AS doc, c_custkey // 25 AS style_id, CASE WHEN c_custkey % 25 % 5 = 0 THEN CASE WHEN c_custkey // 25 = 0 THEN 2 ELSE c_custkey // 25 - 1 END WHEN c_custkey % 6 > 0 THEN c_custkey // 50 END AS based_on,
+ CASE WHEN c_custkey % 25 % 5 = 0 THEN CASE WHEN c_custkey // 25 = 3 THEN 7 END WHEN c_custkey % 5 = 0 THEN c_custkey END AS num_id, CASE WHEN c_custkey % 3 = 0 THEN 1 END AS ilvl FROM customer"""
 
 
 @query(
-    """WITH RECURSIVE s AS (SELECT c_custkey AS style_id, CASE WHEN c_custkey % 6 > 0 THEN c_custkey // 2 END AS based_on, CASE WHEN c_custkey % 5 = 0 THEN c_custkey END AS num_id, CASE WHEN c_custkey % 3 = 0 THEN 1 END AS ilvl FROM customer),
-r AS (SELECT style_id, based_on, num_id, ilvl, 0 AS depth FROM s UNION ALL SELECT r.style_id, s.based_on, s.num_id, s.ilvl, depth + 1 FROM r JOIN s ON r.based_on = s.style_id WHERE r.num_id IS NULL AND depth < 16)
-SELECT style_id, num_id, coalesce(ilvl, 0) AS ilvl FROM r WHERE num_id IS NOT NULL"""
+    f"""WITH RECURSIVE s AS ({_STYLES}),
+r AS (SELECT doc, style_id, based_on, num_id, ilvl, [style_id] AS seen FROM s
+ UNION ALL SELECT r.doc, r.style_id, s.based_on, s.num_id, s.ilvl, list_append(seen, s.style_id) FROM r JOIN s ON r.doc = s.doc AND r.based_on = s.style_id WHERE r.num_id IS NULL AND NOT list_contains(seen, s.style_id))
+SELECT doc, style_id, num_id, coalesce(ilvl, 0) AS ilvl FROM r WHERE num_id IS NOT NULL"""
 )
 def style_chains(spark, sf_dir):
-    c = F.col("c_custkey")
-    s = table(spark, sf_dir, "customer").select(
-        c.alias("style_id"), F.when(c % 6 > 0, F.floor(c / 2).cast("bigint")).alias("based_on"), F.when(c % 5 == 0, c).alias("num_id"), F.when(c % 3 == 0, 1).alias("ilvl")
-    )
-    return numbering.style_numbering(s)
+    table(spark, sf_dir, "customer").createOrReplaceTempView("docspark_customer")
+    return numbering.style_numbering(spark.sql(_sparked(_STYLES, "customer")), ["doc"])
+
+
+def _sparked(sql: str, name: str) -> str:
+    """The SQL that makes up rows, as Spark reads it: whole quotients, and the table's view."""
+    return re.sub(r"(\w+) // (\d+)", r"(\1 DIV \2)", sql).replace(f"FROM {name}", f"FROM docspark_{name}").replace("::INT", "")
+
+
+_WORD = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+
+
+def _files(spark, sf_dir):
+    """A word-processor file per region, all with the same list and style ids: list 5 begins at the region's number,
+    list 6 is another one, and a style hands down list 5. The nations are its paragraphs."""
+    n, r = F.col("n_nationkey"), F.col("n_regionkey")
+    head = lambda num, level: F.concat(F.lit(f'<w:numPr><w:ilvl w:val="{level}"/><w:numId w:val="'), num, F.lit('"/></w:numPr>'))
+    own = F.when(n % 4 == 0, F.lit('<w:pStyle w:val="H2"/>')).when(n % 4 == 1, head(F.lit("5"), 0)).when(n % 4 == 2, head(F.lit("5"), 1)).otherwise(head(F.lit("6"), 0))
+    gone = F.when(n % 7 == 6, F.lit("<w:rPr><w:del/></w:rPr>")).otherwise(F.lit(""))
+    p = F.concat(F.lit("<w:p><w:pPr>"), own, gone, F.lit("</w:pPr><w:r><w:t>"), F.col("n_name"), F.lit("</w:t></w:r></w:p>"))
+    p = F.when(n % 3 == 0, F.concat(F.lit("<w:tbl><w:tr><w:tc>"), p, F.lit("</w:tc></w:tr></w:tbl>"))).otherwise(p)
+    docs = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", p.alias("p")))), lambda x: x["p"]), "").alias("body"))
+    level = lambda i, fmt, text, start: F.concat(F.lit(f'<w:lvl w:ilvl="{i}"><w:start w:val="'), start, F.lit(f'"/><w:numFmt w:val="{fmt}"/><w:lvlText w:val="{text}"/></w:lvl>'))
+    lists = F.concat(
+        F.lit(f'<w:numbering {_WORD}><w:abstractNum w:abstractNumId="0">'), level(0, "decimal", "%1.", (r + 1).cast("string")), level(1, "decimal", "%1.%2", F.lit("1")),
+        F.lit('</w:abstractNum><w:abstractNum w:abstractNumId="1">'), level(0, "upperLetter", "(%1)", F.lit("1")), F.lit("</w:abstractNum>"),
+        F.lit('<w:num w:numId="5"><w:abstractNumId w:val="0"/></w:num><w:num w:numId="6"><w:abstractNumId w:val="1"/></w:num></w:numbering>'),
+    )
+    styles = F.lit(f'<w:styles {_WORD}><w:style w:styleId="H1"><w:pPr><w:numPr><w:numId w:val="5"/></w:numPr></w:pPr></w:style><w:style w:styleId="H2"><w:basedOn w:val="H1"/></w:style></w:styles>')
+    body = F.concat(F.lit(f"<w:document {_WORD}><w:body>"), F.col("body"), F.lit("</w:body></w:document>"))
+
+    @F.pandas_udf("binary")
+    def packed(document: pd.Series, lists: pd.Series, styles: pd.Series) -> pd.Series:
+        out = []
+        for texts in zip(document, lists, styles):
+            raw = io.BytesIO()
+            with zipfile.ZipFile(raw, "w") as z:
+                for name, text in zip(("document", "numbering", "styles"), texts):
+                    z.writestr(f"word/{name}.xml", text)
+            out.append(raw.getvalue())
+        return pd.Series(out)
+
+    return docs.select(F.concat(F.lit("region "), r.cast("string")).alias("path"), packed(body, lists, styles).alias("content"))
+
+
+_FILES = """n AS (SELECT *, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS seq FROM nation),
+k AS (SELECT *, CASE WHEN n_nationkey % 4 = 3 THEN 6 ELSE 5 END AS num_id, CASE WHEN n_nationkey % 4 = 2 THEN 1 ELSE 0 END AS ilvl FROM n WHERE n_nationkey % 7 <> 6),
+c AS (SELECT *, count(*) FILTER (ilvl = 0) OVER w AS tops, n_nationkey % 3 = 0 AS in_table FROM k WINDOW w AS (PARTITION BY n_regionkey, num_id ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey, num_id, tops, ilvl ORDER BY seq) AS sub FROM c),
+f AS (SELECT 'region ' || n_regionkey AS path, seq, n_name AS text, num_id, ilvl, in_table, CASE WHEN num_id = 6 THEN '1' ELSE '0' END AS abstract_id,
+ CASE WHEN num_id = 6 THEN '(' || chr(64 + tops::INT) || ')' WHEN ilvl = 0 THEN (n_regionkey + tops) || '.' ELSE (n_regionkey + greatest(tops, 1)) || '.' || sub END AS number FROM e)"""
+
+
+def _file_numbers(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    return numbering.document_numbers(office.paragraphs(files), office.list_levels(files), office.styles(files), ["path"])
+
+
+@query(f"WITH {_FILES} SELECT path, seq, text, num_id, ilvl, in_table, abstract_id, number FROM f")
+def file_numbers(spark, sf_dir):
+    """Numbers of the paragraphs of several files that use the same ids."""
+    return _file_numbers(spark, sf_dir).select("path", "seq", "text", "num_id", "ilvl", "in_table", "abstract_id", "number")
+
+
+@query(f"WITH {_FILES} SELECT path, abstract_id, count(*) AS n, count(*) FILTER (in_table) AS n_in_table, count(*) FILTER (NOT in_table) AS n_outside FROM f WHERE abstract_id <> '0' GROUP BY ALL")
+def lists_beside(spark, sf_dir):
+    """Numbered paragraphs that are not of the headings' list, by their own."""
+    return numbering.by_abstract_list(_file_numbers(spark, sf_dir), ["path"], "0")[1]
+
+
+@query(f"WITH {_FILES} SELECT path, seq, number FROM f WHERE abstract_id = '0'")
+def list_headings(spark, sf_dir):
+    return numbering.by_abstract_list(_file_numbers(spark, sf_dir), ["path"], "0")[0].select("path", "seq", "number")
 
 
 @query(
@@ -127,9 +228,11 @@ def numbers_taken(spark, sf_dir):
     return numbering.take_in_order(i, n, ["k", "p"])
 
 
-@query("SELECT l_linenumber AS number, count(*) AS n, min(l_orderkey) AS first_seq FROM lineitem GROUP BY 1 ORDER BY n DESC, first_seq LIMIT 10")
+@query("SELECT l_linenumber * 100 + l_quantity::INT AS number, count(*) AS n, min(l_orderkey * 8 + l_linenumber) AS first_seq FROM lineitem GROUP BY 1 ORDER BY n DESC, first_seq LIMIT 10")
 def top_numbers(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("number"), F.col("l_orderkey").alias("seq"))  # noqa: E741
+    """The ten most frequent of some 350 numbers."""
+    number = F.col("l_linenumber") * 100 + F.col("l_quantity").cast("int")
+    l = table(spark, sf_dir, "lineitem").select(number.alias("number"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"))  # noqa: E741
     return numbering.histogram(l, [F.col("number")])
 
 
@@ -160,8 +263,52 @@ def sheet_sections(spark, sf_dir):
 
 
 @query(
-    """WITH c AS (SELECT l_orderkey, l_linenumber, '| ' || CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE l_returnflag || '\\|' || l_linestatus END || ' | ' || l_partkey || '<br>' || l_quantity::INT || ' | ' || CASE WHEN l_linenumber % 2 = 0 THEN l_linestatus ELSE '' END || ' |' AS line FROM lineitem),
-h AS (SELECT l_orderkey, '| a | b | c |' || chr(10) || '|---|---|---|' || chr(10) || string_agg(line, chr(10) ORDER BY l_linenumber, line) AS md FROM c GROUP BY 1) SELECT * FROM h"""
+    """WITH n AS (SELECT *, dense_rank() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS section FROM nation),
+r AS (SELECT n_regionkey, section, s_suppkey, '| ' || s_suppkey || ' | &lt;' || s_name || '\\|&gt; | ' || floor(s_acctbal)::BIGINT || ' |' AS line FROM supplier JOIN n ON s_nationkey = n_nationkey),
+b AS (SELECT n_regionkey, section, string_agg(line, chr(10) ORDER BY s_suppkey) AS body FROM r GROUP BY ALL),
+p AS (SELECT n.n_regionkey, section, '## ' || n_name || CASE WHEN body IS NULL THEN '' ELSE chr(10) || chr(10) || '| No | Name | Sum |' || chr(10) || '| --- | --- | --- |' || chr(10) || body END AS md FROM n LEFT JOIN b USING (n_regionkey, section))
+SELECT n_regionkey, '# ' || r_name || chr(10) || chr(10) || CASE WHEN n_regionkey % 2 = 0 THEN 'as of' || chr(10) || 'today' || chr(10) || chr(10) ELSE '' END || string_agg(md, chr(10) || chr(10) ORDER BY section) || chr(10) AS md FROM p JOIN region ON n_regionkey = r_regionkey GROUP BY n_regionkey, r_name"""
+)
+def sheet_texts(spark, sf_dir):
+    """Sheets as one text each, some with a description below the title."""
+    title = F.when(F.col("n_regionkey") % 2 == 0, F.concat(F.lit(" "), F.get("texts", 0), F.lit("\n as of\n\ntoday "))).otherwise(F.get("texts", 0))
+    cells = _sheet(spark, sf_dir).withColumn("texts", F.when(F.col("r") == 1, F.array(title)).otherwise(F.col("texts")))
+    return tables.sheet_markdown(cells, ["n_regionkey"])
+
+
+@query(
+    """SELECT p_partkey, p_size AS n_rows, (p_partkey % 15)::INT AS n_cols FROM part WHERE p_size >= 2 AND p_partkey % 15 BETWEEN 2 AND 12"""
+)
+def table_candidates(spark, sf_dir):
+    t = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("n_rows"), (F.col("p_partkey") % 15).cast("int").alias("n_cols"))
+    return tables.table_candidates(t)
+
+
+@query(
+    """WITH c AS (SELECT l_orderkey, l_linenumber % 4 AS c, CASE WHEN l_partkey % 3 = 0 THEN '' ELSE repeat('x', l_quantity::INT + 15) END AS t FROM lineitem),
+g AS (SELECT l_orderkey, count(DISTINCT CASE WHEN t <> '' THEN c END) / 4.0::DOUBLE AS filled_share, max(length(t))::INT AS longest FROM c GROUP BY 1) SELECT *, filled_share <= 0.5 AND longest <= 60 AS is_pseudo FROM g"""
+)
+def pseudo_tables(spark, sf_dir):
+    """Tables that are mere text, out of the lines of orders."""
+    t = F.when(F.col("l_partkey") % 3 == 0, F.lit(" ")).otherwise(F.concat(F.repeat(F.lit("x"), F.col("l_quantity").cast("int") + 15), F.lit(" ")))
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") % 4).alias("c"), F.lit(4).alias("n_cols"), t.alias("text"))  # noqa: E741
+    return tables.pseudo_tables(l, ["l_orderkey"])
+
+
+@query(
+    """WITH h AS (SELECT c_custkey, (c_custkey % 3 + 2)::INT AS level, CASE c_custkey % 4 WHEN 0 THEN '1. a' WHEN 1 THEN '1.2 b' WHEN 2 THEN '1.2.3 c' ELSE 'plain' END AS text, CASE c_custkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 4 END AS expected FROM customer)
+SELECT * FROM h WHERE expected <> level"""
+)
+def heading_depths(spark, sf_dir):
+    """Numbered headings whose level is not that of their number."""
+    k = F.col("c_custkey")
+    name = F.element_at(F.array(*[F.lit(x) for x in ("1. a", "1.2 b", "1.2.3 c", "plain")]), (k % 4 + 1).cast("int"))
+    return audit.heading_depths(table(spark, sf_dir, "customer").select("c_custkey", (k % 3 + 2).cast("int").alias("level"), name.alias("text")))
+
+
+@query(
+    """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, '| ' || CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE l_returnflag || '\\|' || l_linestatus END || ' | ' || l_partkey || '<br>' || l_quantity::INT || ' | ' || CASE WHEN l_linenumber % 2 = 0 THEN l_linestatus ELSE '' END || ' |' AS line FROM lineitem),
+h AS (SELECT l_orderkey, '| a | b | c |' || chr(10) || '|---|---|---|' || chr(10) || string_agg(line, chr(10) ORDER BY l_linenumber, l_partkey, l_quantity, line) AS md FROM c GROUP BY 1) SELECT * FROM h"""
 )
 def order_tables(spark, sf_dir):
     """The lines of every order as a Markdown table: cells cleaned, short rows padded, empty rows dropped."""
@@ -169,7 +316,7 @@ def order_tables(spark, sf_dir):
     first = F.when(F.col("l_linenumber") % 3 == 0, F.lit(None)).otherwise(F.concat_ws("|", "l_returnflag", "l_linestatus"))
     second = F.concat(F.lit(" "), F.col("l_partkey").cast("string"), F.lit("\n"), F.col("l_quantity").cast("int").cast("string"))
     cells = F.when(F.col("l_linenumber") % 2 == 0, F.array(first, second, F.col("l_linestatus"))).otherwise(F.array(first, second))
-    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", tables.row_line(F.transform(cells, text.table_cell)).alias("line"), cells.alias("cells"))))
+    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", cells.alias("cells"))))
     t = l.groupBy("l_orderkey").agg(F.transform(rows, lambda r: r["cells"]).alias("rows"))
     header = F.array(*[F.lit(x) for x in "abc"])
     return t.select("l_orderkey", tables.rendered_rows(F.concat(F.array(header, F.array(F.lit(" "), F.lit(None).cast("string"))), F.col("rows"))).alias("md"))
@@ -232,11 +379,14 @@ def column_counts(spark, sf_dir):
 
 
 @query(
-    """WITH d AS (SELECT DISTINCT o_custkey, o_orderkey FROM orders), l AS (SELECT *, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM d)
-SELECT o_custkey, b AS after, o_orderkey AS before, greatest(o_orderkey - b - 1, 0) AS missing, CASE WHEN o_orderkey = b THEN 'repeat' ELSE 'gap' END AS kind FROM l WHERE b IS NOT NULL AND o_orderkey <> b + 1"""
+    """WITH d AS (SELECT o_custkey, o_orderkey // 3 AS n FROM orders UNION ALL SELECT o_custkey, o_orderkey // 3 FROM orders WHERE o_orderkey % 5 = 0),
+l AS (SELECT *, lag(n) OVER (PARTITION BY o_custkey ORDER BY n) AS b FROM d)
+SELECT o_custkey, b AS after, n AS before, greatest(n - b - 1, 0) AS missing, CASE WHEN n = b THEN 'repeat' ELSE 'gap' END AS kind FROM l WHERE b IS NOT NULL AND n <> b + 1"""
 )
 def number_gaps(spark, sf_dir):
-    return audit.gaps(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").distinct(), ["o_custkey"], "o_orderkey")
+    """Numbers that are skipped or come twice."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.floor(F.col("o_orderkey") / 3).cast("bigint").alias("n"))
+    return audit.gaps(o.unionAll(o.where("o_orderkey % 5 = 0")).select("o_custkey", "n"), ["o_custkey"], "n")
 
 
 @query(
@@ -385,7 +535,8 @@ def fonts_missing(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     required = p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_brand", "p_type").alias("family"))
     shown = F.concat(F.upper("p_brand"), F.col("p_type"), F.lit(" & Other (TrueType)"))
-    installed = p.where("p_partkey % 3 = 0").select(F.explode(text.font_names(shown)).alias("family"))
+    fonts = lambda where: p.where(where).select(F.explode(text.font_names(shown)).alias("family"))
+    installed = [fonts("p_partkey % 6 = 0"), fonts("p_partkey % 6 = 3")]
     return audit.missing_names(required, installed, "family", text.font_key)
 
 

@@ -32,20 +32,49 @@ def without_tags(html: Column) -> Column:
     return F.regexp_replace(html, r"<[^>]*>", "")
 
 
+#: Named entities that text is full of; the ampersand last.
+ENTITIES = (
+    ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("copy", "©"), ("reg", "®"), ("middot", "·"), ("bull", "•"),
+    ("hellip", "…"), ("ndash", "–"), ("mdash", "—"), ("lsquo", "‘"), ("rsquo", "’"), ("ldquo", "“"), ("rdquo", "”"), ("times", "×"), ("amp", "&"),
+)
+
+
 def entities(text: Column) -> Column:
-    """The few named entities that text is full of; the ampersand last."""
-    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("amp", "&")):
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(sign))
-    return text
+    """ENTITIES and numeric character references, decimal and hexadecimal, of code points that are no control characters,
+    surrogates or byte order marks; each is resolved once."""
+    marks = F.regexp_extract_all(text, F.lit(NUMERIC), F.lit(0))
+    gaps = F.split(text, NUMERIC, -1)
+
+    def named(x: Column) -> Column:
+        for name, sign in ENTITIES:
+            x = F.replace(x, F.lit(f"&{name};"), F.lit(sign))
+        return x
+
+    def sign(x: Column) -> Column:
+        body = F.substring(x, F.lit(3), F.length(x) - 3)
+        hexa = F.lower(F.substring(body, 1, 1)) == "x"
+        n = F.when(hexa, F.conv(F.substring(body, F.lit(2), F.length(body)), 16, 10).cast("bigint")).otherwise(body.cast("bigint"))
+        good = (n >= 32) & ((n < 0xD800) | (n > 0xDFFF)) & (n <= 0x10FFFF) & (n != 0xFEFF) | n.isin(9, 10)
+        # A code point's four bytes spell it.
+        return F.when(good, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(x)
+
+    spelled = F.concat_ws("", F.flatten(F.transform(gaps, lambda g, i: F.array_compact(F.array(named(g), F.when(i < F.size(marks), sign(F.get(marks, i))))))))
+    return F.when(text.contains("&#"), spelled).otherwise(F.when(text.contains("&"), named(text)).otherwise(text))
+
+
+NUMERIC = "&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+
+#: A link with an address in double quotes, single ones or none, and the three forms of the address.
+LINK = r"""(?is)<a\b[^>]*\bhref\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)[^>]*>.*?</a>"""
+HREF = r"""(?i)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
 def links(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, seq, href, label) of every link with an address."""
-    found = F.regexp_extract_all(without_comments(without_scripts(F.col(html))), F.lit(r"(?is)<a\b[^>]*\bhref=\"[^\"]*\"[^>]*>.*?</a>"), F.lit(0))
+    found = F.regexp_extract_all(without_comments(without_scripts(F.col(html))), F.lit(LINK), F.lit(0))
     rows = pages.select(key, F.posexplode(found).alias("seq", "a"))
-    return rows.select(
-        key, "seq", F.regexp_extract("a", r"(?i)\bhref=\"([^\"]*)\"", 1).alias("href"), entities(strip(without_tags(F.col("a")))).alias("label")
-    )
+    address = F.concat(*[F.regexp_extract("a", HREF, k) for k in (1, 2, 3)])
+    return rows.select(key, "seq", entities(address).alias("href"), entities(strip(without_tags(F.col("a")))).alias("label"))
 
 
 class _Node:
@@ -114,26 +143,35 @@ def squeezed(text: str) -> str:
 
 
 def inline(node: _Node, lists: bool = True) -> str:
-    out = []
-    for kid in node.kids:
-        if isinstance(kid, str):
-            out.append(kid)
+    """Inline Markdown of what is below a node. Deep trees are walked with a stack, not by recursion."""
+    out: list[str] = []
+    open_: list[tuple] = [(node, iter(node.kids), out, lists)]
+    while True:
+        at, kids, own, with_lists = open_[-1]
+        kid = next(kids, None)
+        if kid is None:
+            open_.pop()
+            if not open_:
+                return "".join(out)
+            open_[-1][2].append(_marked(at, "".join(own)))
+        elif isinstance(kid, str):
+            own.append(kid)
         elif kid.tag == "br":
-            out.append("<br>")
+            own.append("<br>")
         elif kid.tag == "img":
             if src := kid.attrs.get("src"):
-                out.append(f"![{kid.attrs.get('alt') or src.rsplit('/', 1)[-1]}]({src})")
-        elif kid.tag in ("ul", "ol"):
-            if lists:
-                out.append(inline(kid))
-        else:
-            body = inline(kid, lists)
-            mark = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}.get(kid.tag, "")
-            if kid.tag == "a" and kid.attrs.get("href") and body.strip():
-                out.append(f"[{squeezed(body)}]({kid.attrs['href']})")
-            else:
-                out.append(f"{mark}{body.strip()}{mark}" if mark and body.strip() else body)
-    return "".join(out)
+                own.append(f"![{kid.attrs.get('alt') or src.rsplit('/', 1)[-1]}]({src})")
+        elif kid.tag not in ("ul", "ol"):
+            open_.append((kid, iter(kid.kids), [], with_lists))
+        elif with_lists:
+            open_.append((kid, iter(kid.kids), [], True))
+
+
+def _marked(node: _Node, body: str) -> str:
+    mark = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}.get(node.tag, "")
+    if node.tag == "a" and node.attrs.get("href") and body.strip():
+        return f"[{squeezed(body)}]({node.attrs['href']})"
+    return f"{mark}{body.strip()}{mark}" if mark and body.strip() else body
 
 
 def grid(table: _Node) -> list[list[tuple[str, bool]]]:
@@ -148,7 +186,9 @@ def grid(table: _Node) -> list[list[tuple[str, bool]]]:
             while c in line:
                 c += 1
             text = squeezed(inline(cell))
-            across, down = (_number(cell.attrs.get(s)) for s in ("colspan", "rowspan"))
+            # As in browsers no cell is wider than 1000 columns; rows below the table's last are not there.
+            across = min(max(_number(cell.attrs.get("colspan")), 1), 1000)
+            down = min(max(_number(cell.attrs.get("rowspan")), 1), len(rows) - r)
             for d in range(across):
                 line[c + d] = (text if d == 0 else "", d == 0)
                 for x in range(1, down):
@@ -160,19 +200,23 @@ def grid(table: _Node) -> list[list[tuple[str, bool]]]:
 
 def _number(value) -> int:
     try:
-        return min(max(1, int(value)), 1000)
+        return int(value or 1)
     except (TypeError, ValueError):
         return 1
 
 
 def _below(node: _Node, tag: str) -> Iterator[_Node]:
-    """Nodes of a tag, those of nested tables left to them."""
-    for kid in node.kids:
-        if isinstance(kid, _Node):
+    """Nodes of a tag in document order, those of nested tables left to them."""
+    open_ = [iter(node.kids)]
+    while open_:
+        kid = next(open_[-1], None)
+        if kid is None:
+            open_.pop()
+        elif isinstance(kid, _Node):
             if kid.tag == tag:
                 yield kid
             elif kid.tag != "table":
-                yield from _below(kid, tag)
+                open_.append(iter(kid.kids))
 
 
 def table_markdown(table: _Node) -> str:
@@ -185,38 +229,51 @@ def table_markdown(table: _Node) -> str:
     return "\n".join(["| " + " | ".join(rows[0]) + " |", "|" + "---|" * width, *("| " + " | ".join(r) + " |" for r in rows[1:])])
 
 
-def list_markdown(node: _Node, path: tuple[int, ...] = (), depth: int = 0) -> list[str]:
+def list_markdown(node: _Node) -> list[str]:
     """Items with their numbers along the lists around them, or bullets by depth."""
-    ordered, out = node.tag == "ol", []
-    first = _number(node.attrs.get("start")) if ordered else 1
-    for i, item in enumerate(k for k in node.kids if isinstance(k, _Node) and k.tag == "li"):
-        here = (*path, first + i) if ordered else ()
-        mark = f"{here[0]}. " if len(here) == 1 else ".".join(map(str, here)) + " " if here else "  " * depth + "- "
-        text = squeezed(inline(item, lists=False))
-        if text:
-            out.append(mark + text)
-        for kid in item.kids:
-            if isinstance(kid, _Node) and kid.tag in ("ul", "ol"):
-                out += list_markdown(kid, here, depth + 1)
+    out: list[str] = []
+    open_: list[tuple[Iterator, tuple[int, ...], int]] = [(iter([node]), (), 0)]
+    while open_:
+        lists, path, depth = open_[-1]
+        entry = next(lists, None)
+        if entry is None:
+            open_.pop()
+        elif isinstance(entry, tuple):
+            item, number = entry
+            here = (*path, number) if number is not None else ()
+            mark = f"{here[0]}. " if len(here) == 1 else ".".join(map(str, here)) + " " if here else "  " * (depth - 1) + "- "
+            if text := squeezed(inline(item, lists=False)):
+                out.append(mark + text)
+            open_.append((iter([k for k in item.kids if isinstance(k, _Node) and k.tag in ("ul", "ol")]), here, depth))
+        else:
+            first = _number(entry.attrs.get("start")) if entry.tag == "ol" else None
+            items = [k for k in entry.kids if isinstance(k, _Node) and k.tag == "li"]
+            open_.append((iter([(k, None if first is None else first + i) for i, k in enumerate(items)]), path, depth + 1))
     return out
 
 
 def blocks_of(node: _Node) -> Iterator[tuple[str, str]]:
-    """(kind, Markdown) in document order."""
-    run: list = []
+    """(kind, Markdown) in document order. Deep trees are walked with a stack, not by recursion."""
 
-    def flush():
+    def flush(run: list) -> Iterator[tuple[str, str]]:
         box = _Node("", {})
         box.kids = run[:]
         run.clear()
-        text = squeezed(inline(box))
-        return [("paragraph", text)] if text else []
-
-    for kid in node.kids:
+        if text := squeezed(inline(box)):
+            yield "paragraph", text
+
+    open_: list[tuple[Iterator, list]] = [(iter(node.kids), [])]
+    while open_:
+        kids, run = open_[-1]
+        kid = next(kids, None)
+        if kid is None:
+            yield from flush(run)
+            open_.pop()
+            continue
         if isinstance(kid, str) or kid.tag in _Builder.INLINE or kid.tag in ("img", "br"):
             run.append(kid)
             continue
-        yield from flush()
+        yield from flush(run)
         if kid.tag[0:1] == "h" and kid.tag[1:].isdigit() and 1 <= int(kid.tag[1:]) <= 6:
             if text := squeezed(inline(kid)):
                 anchor = kid.attrs.get("id") or ""
@@ -232,19 +289,20 @@ def blocks_of(node: _Node) -> Iterator[tuple[str, str]]:
         elif kid.tag == "p" and not any(isinstance(k, _Node) and k.tag in ("table", "ul", "ol", "pre", "p") for k in kid.kids):
             if text := squeezed(inline(kid)):
                 yield "paragraph", text
-        elif kid.tag in ("title", "head"):
-            continue
-        else:
-            yield from blocks_of(kid)
-    yield from flush()
+        elif kid.tag not in ("title", "head"):
+            open_.append((iter(kid.kids), []))
 
 
 def _text(node: _Node) -> Iterator[str]:
-    for kid in node.kids:
-        if isinstance(kid, str):
+    open_ = [iter(node.kids)]
+    while open_:
+        kid = next(open_[-1], None)
+        if kid is None:
+            open_.pop()
+        elif isinstance(kid, str):
             yield kid
         else:
-            yield from _text(kid)
+            open_.append(iter(kid.kids))
 
 
 def page_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:

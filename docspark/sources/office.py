@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _BUILT_IN = {2: "0.00", 4: "#,##0.00", 10: "0.00%", 39: "#,##0.00;(#,##0.00)", 40: "#,##0.00;[Red](#,##0.00)"}
 
 
@@ -34,11 +35,23 @@ def _rows(docs: DataFrame, schema: str, columns: list[str], read) -> DataFrame:
 
 def _int(element, tag: str):
     found = element.find(tag) if element is not None else None
-    value = found.get(W + "val") if found is not None else None
+    return _whole(found.get(W + "val") if found is not None else None)
+
+
+def _whole(value) -> int | None:
+    """A whole number of 32 bits; anything else is null."""
     try:
-        return int(value)
+        n = int(value)
     except (TypeError, ValueError):
         return None
+    return n if -(2**31) <= n < 2**31 else None
+
+
+def _float(value) -> float | None:
+    try:
+        return float(value)
+    except ValueError:
+        return None
 
 
 def _on(element, tag: str) -> bool:
@@ -55,16 +68,19 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
     def read(content: bytes):
         root = _member(content, "word/document.xml")
-        seq = 0
 
-        def walk(node, in_table, fallback):
-            nonlocal seq
-            for kid in node:
-                tag = kid.tag
-                if tag == W + "p":
+        def walk(top):
+            seq, open_ = 0, [(iter(top), False, False)]
+            while open_:
+                kids, in_table, fallback = open_[-1]
+                kid = next(kids, None)
+                if kid is None:
+                    open_.pop()
+                    continue
+                if kid.tag == W + "p":
                     yield paragraph(kid, seq, in_table, fallback)
                     seq += 1
-                yield from walk(kid, in_table or tag == W + "tbl", fallback or tag.endswith("}Fallback"))
+                open_.append((iter(kid), in_table or kid.tag == W + "tbl", fallback or kid.tag.endswith("}Fallback")))
 
         def paragraph(p, n, in_table, fallback):
             pr = p.find(W + "pPr")
@@ -83,7 +99,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 mark is not None and mark.find(W + "del") is not None, fallback,
             )
 
-        return walk(root, False, False) if root is not None else ()
+        return walk(root) if root is not None else ()
 
     return _rows(
         docs,
@@ -97,7 +113,7 @@ def _level(e):
     text, fmt = e.find(W + "lvlText"), e.find(W + "numFmt")
     start, restart = _int(e, W + "start"), _int(e, W + "lvlRestart")
     return (
-        int(e.get(W + "ilvl", 0)), start, fmt.get(W + "val") if fmt is not None else None,
+        _whole(e.get(W + "ilvl")) or 0, start, fmt.get(W + "val") if fmt is not None else None,
         text.get(W + "val") if text is not None else None,
         # Levels are counted from 1 here, 0 says never.
         None if restart is None else restart if restart == 0 else restart - 1, _on(e, W + "isLgl"),
@@ -114,7 +130,9 @@ def list_levels(docs: DataFrame) -> DataFrame:
             return
         abstract = {a.get(W + "abstractNumId"): [_level(e) for e in a.findall(W + "lvl")] for a in root.findall(W + "abstractNum")}
         for num in root.findall(W + "num"):
-            num_id, ref = int(num.get(W + "numId")), num.find(W + "abstractNumId")
+            num_id, ref = _whole(num.get(W + "numId")), num.find(W + "abstractNumId")
+            if num_id is None:
+                continue
             name = ref.get(W + "val") if ref is not None else None
             for level in abstract.get(name, []):
                 yield (num_id, name, *level, None, False)
@@ -122,7 +140,7 @@ def list_levels(docs: DataFrame) -> DataFrame:
                 own = over.find(W + "lvl")
                 pinned = _int(over, W + "startOverride")
                 level = _level(own)[1:] if own is not None else (None,) * 5
-                yield (num_id, name, int(over.get(W + "ilvl", 0)), *level, pinned, True)
+                yield (num_id, name, _whole(over.get(W + "ilvl")) or 0, *level, pinned, True)
 
     return _rows(
         docs,
@@ -146,15 +164,24 @@ def styles(docs: DataFrame) -> DataFrame:
 
 
 def sheet_cells(docs: DataFrame) -> DataFrame:
-    """(path, r, c, v_str, v_num, v_bool, number_format): cells of the active sheet with the values stored in the file."""
+    """(path, r, c, v_str, v_num, v_bool, number_format): cells of the active sheet with the values stored in the file.
+
+    The active sheet is found by its relationship. A value that isn't of the cell's type, as a word among the numbers
+    or a string that isn't there, is null in all columns; packages without such a sheet have no cells.
+    """
 
     def read(content: bytes):
         book = _member(content, "xl/workbook.xml")
         if book is None:
             return
         view = book.find(f"{S}bookViews/{S}workbookView")
-        active = int(view.get("activeTab", 0)) if view is not None else 0
-        sheet = _member(content, f"xl/worksheets/sheet{active + 1}.xml")
+        active = (_whole(view.get("activeTab")) if view is not None else 0) or 0
+        sheets = book.findall(f"{S}sheets/{S}sheet")
+        rels = _member(content, "xl/_rels/workbook.xml.rels")
+        targets = {r.get("Id"): r.get("Target", "") for r in rels} if rels is not None else {}
+        target = targets.get(sheets[active].get(R + "id")) if 0 <= active < len(sheets) else None
+        target = f"worksheets/sheet{active + 1}.xml" if target is None else target
+        sheet = _member(content, target[1:] if target.startswith("/") else f"xl/{target}")
         if sheet is None:
             return
         strings = _member(content, "xl/sharedStrings.xml")
@@ -165,18 +192,19 @@ def sheet_cells(docs: DataFrame) -> DataFrame:
             own = {f.get("numFmtId"): f.get("formatCode") for f in looks.iter(S + "numFmt")}
             for xf in looks.findall(f"{S}cellXfs/{S}xf"):
                 code = xf.get("numFmtId", "0")
-                formats.append(own.get(code) or _BUILT_IN.get(int(code), "General"))
+                formats.append(own.get(code) or _BUILT_IN.get(_whole(code), "General"))
         for c in sheet.iter(S + "c"):
-            letters = "".join(x for x in c.get("r", "") if x.isalpha())
+            letters = [x for x in c.get("r", "") if "A" <= x <= "Z"][:3]
             col = 0
             for x in letters:
                 col = col * 26 + ord(x) - 64
-            row = int("".join(x for x in c.get("r", "") if x.isdigit()) or 0)
+            row = _whole("".join(x for x in c.get("r", "") if x.isdigit())) or 0
             kind, value = c.get("t", "n"), c.findtext(S + "v")
-            style = int(c.get("s", 0))
-            look = formats[style] if style < len(formats) else "General"
+            style = _whole(c.get("s")) or 0
+            look = formats[style] if 0 <= style < len(formats) else "General"
             if kind == "s" and value is not None:
-                yield row, col, shared[int(value)], None, None, look
+                at = _whole(value)
+                yield row, col, shared[at] if at is not None and 0 <= at < len(shared) else None, None, None, look
             elif kind == "inlineStr":
                 yield row, col, "".join(t.text or "" for t in c.iter(S + "t")), None, None, look
             elif kind == "b":
@@ -184,7 +212,7 @@ def sheet_cells(docs: DataFrame) -> DataFrame:
             elif kind in ("str", "e"):
                 yield row, col, value, None, None, look
             elif value is not None:
-                yield row, col, None, float(value), None, look
+                yield row, col, None, _float(value), None, look
 
     return _rows(
         docs, "r int, c int, v_str string, v_num double, v_bool boolean, number_format string",

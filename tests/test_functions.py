@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docspark.functions import constants as K
-from docspark.functions import counters, garble, text
+from docspark.functions import counters, text
 
 
 def one(spark, column, **values):
@@ -98,8 +98,3 @@ def test_counters(spark):
     df = spark.createDataFrame(rows, "f string, n int, want string")
     bad = [tuple(r) for r in df.withColumn("got", counters.counter(F.col("n"), F.col("f"))).collect() if r["got"] != r["want"]]
     assert not bad
-
-
-def test_garble(spark):
-    c = one(spark, garble.counters(F.col("t")), t="a� b(cid:12)é×")
-    assert (c["n"], c["n_invalid"], c["n_latin"]) == (13, 9, 1)

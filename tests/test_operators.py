@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from docspark.operators import audit, blocks, boxes, layout, lines, numbering, tables
+from docspark.operators import audit, blocks, boxes, layout, lines, numbering, tables, textlayer
 
 
 def fold_numbers(paragraphs, spec, depth):
@@ -133,8 +133,18 @@ def test_user_patterns_win(spark):
 
 
 def test_style_numbering_follows_the_whole_chain(spark):
-    rows = [(k, k - 1 if k else None, None if k else 7, None) for k in range(20)]
-    rows += [(50, 51, None, None), (51, 52, None, None), (52, 51, None, None)]
-    styles = spark.createDataFrame(rows, "style_id long, based_on long, num_id long, ilvl int")
-    got = {r["style_id"]: (r["num_id"], r["ilvl"]) for r in numbering.style_numbering(styles).collect()}
-    assert got == {k: (7, 0) for k in range(20)}
+    """Forty links, cycles, and two documents with the same style ids."""
+    rows = [(1, k, k - 1 if k else None, None if k else 7, None) for k in range(41)]
+    rows += [(1, 50, 51, None, None), (1, 51, 52, None, None), (1, 52, 51, None, None), (1, 60, 99, None, 3)]
+    rows += [(2, 0, None, 8, 2), (2, 1, 0, None, None), (2, None, 0, None, None)]
+    styles = spark.createDataFrame(rows, "d int, style_id long, based_on long, num_id long, ilvl int")
+    got = {(r["d"], r["style_id"]): (r["num_id"], r["ilvl"]) for r in numbering.style_numbering(styles, ["d"]).collect()}
+    assert got == {(1, k): (7, 0) for k in range(41)} | {(2, 0): (8, 2), (2, 1): (8, 2), (2, None): (8, 2)}
+
+
+def test_signals_of_pages(spark):
+    pages = [(1, "a� b(cid:12)é×"), (2, ""), (3, None), (4, "中" * 60 + "x" * 40)]
+    got = {r["p"]: r for r in textlayer.signals(spark.createDataFrame(pages, "p int, t string"), ["p"], "t").collect()}
+    assert (got[1]["n"], got[1]["n_invalid"], got[1]["n_latin"]) == (13, 9, 1)
+    assert (got[2]["n"], got[2]["top"], got[2]["n_top"], got[3]["n"], got[3]["reasons"]) == (0, None, 0, None, None)
+    assert (got[4]["top"], got[4]["n_top"], got[4]["reasons"]) == ("中", 60, ["repeated"])

@@ -53,16 +53,97 @@ def test_word_numbers(spark):
       <w:style w:styleId="S2"><w:basedOn w:val="S1"/></w:style><w:style w:styleId="S3"><w:basedOn w:val="S3"/></w:style></w:styles>"""
     content = package(word__document=f"<w:document {W}><w:body>{body}{style}</w:body></w:document>", word__numbering=numbering_xml, word__styles=styles_xml)
     docs = spark.createDataFrame([("f", content), ("broken", b"no zip")], "path string, content binary")
-    paragraphs = office.paragraphs(docs)
-    chains = numbering.style_numbering(office.styles(docs).drop("path"), depth=4)
-    p = numbering.paragraph_numbering(paragraphs.where("NOT deleted AND NOT fallback"), chains)
-    levels = office.list_levels(docs)
-    eff = numbering.effective_levels(levels.where("NOT own").drop("override", "own"), levels.where("own"))
-    values = numbering.level_values(p, eff, ["num_id"], 2)
-    got = [(r["text"], r["number"], r["in_table"], r["bold"]) for r in numbering.rendered(values, eff, ["num_id"], 2).orderBy("seq").collect()]
+    numbered = numbering.document_numbers(office.paragraphs(docs), office.list_levels(docs), office.styles(docs), ["path"])
+    got = [(r["text"], r["number"], r["in_table"], r["bold"]) for r in numbered.orderBy("seq").collect()]
     assert got == [("a", "第一章", False, True), ("b", "1.1", False, True), ("c", "1.2", True, True), ("d", "第二章", False, True), ("e", "第三章", False, False)]
 
 
+def word_file(paragraphs, levels, lists, styles=""):
+    """paragraphs: (text, list or None, level, further marks); levels: by abstract list, of (start, format, text); lists: XML."""
+    body = "".join(
+        f'<w:p><w:pPr>{f"""<w:numPr><w:ilvl w:val="{level}"/><w:numId w:val="{num}"/></w:numPr>""" if num else ""}{more}</w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>'
+        for text, num, level, more in paragraphs
+    )
+    abstract = "".join(
+        f'<w:abstractNum w:abstractNumId="{a}">'
+        + "".join(f'<w:lvl w:ilvl="{i}"><w:start w:val="{s}"/><w:numFmt w:val="{f}"/><w:lvlText w:val="{t}"/></w:lvl>' for i, (s, f, t) in enumerate(own))
+        + "</w:abstractNum>"
+        for a, own in enumerate(levels)
+    )
+    return package(
+        word__document=f"<w:document {W}><w:body>{body}</w:body></w:document>",
+        word__numbering=f"<w:numbering {W}>{abstract}{lists}</w:numbering>",
+        word__styles=f"<w:styles {W}>{styles}</w:styles>",
+    )
+
+
+def file_numbers(spark, files):
+    d = spark.createDataFrame(list(files.items()), "path string, content binary")
+    rows = numbering.document_numbers(office.paragraphs(d), office.list_levels(d), office.styles(d), ["path"]).collect()
+    return sorted((r["path"], r["seq"], r["text"], r["number"]) for r in rows)
+
+
+LIST = '<w:num w:numId="1"><w:abstractNumId w:val="0"/>{}</w:num>'
+
+
+def test_files_with_equal_ids_do_not_mix(spark):
+    h1 = '<w:style w:styleId="H1"><w:pPr><w:numPr><w:numId w:val="1"/></w:numPr></w:pPr></w:style><w:style w:styleId="H2"><w:basedOn w:val="H1"/></w:style>'
+    mark = '<w:pStyle w:val="H2"/>'
+    rows = [("a", None, 0, mark), ("b", 1, 0, ""), ("c", 1, 1, "")]
+    files = {
+        f"f{i}": word_file(rows, [[(start, fmt, "%1."), (1, "decimal", "%1.%2")]], LIST.format(""), h1)
+        for i, (start, fmt) in enumerate([(1, "decimal"), (5, "upperRoman"), (3, "lowerLetter")])
+    }
+    together = file_numbers(spark, files)
+    assert together == [x for path, content in files.items() for x in file_numbers(spark, {path: content})]
+    assert [x[3] for x in together] == ["1.", "2.", "2.1", "V.", "VI.", "VI.1", "c.", "d.", "d.1"]
+
+
+def test_a_list_may_define_a_level_anew(spark):
+    own = '<w:lvlOverride w:ilvl="0"><w:lvl w:ilvl="0"><w:start w:val="5"/><w:numFmt w:val="decimal"/><w:lvlText w:val="[%1]"/></w:lvl></w:lvlOverride>'
+    got = file_numbers(spark, {"f": word_file([("a", 1, 0, ""), ("b", 1, 0, "")], [[(1, "decimal", "%1.")]], LIST.format(own))})
+    assert [x[3] for x in got] == ["[5]", "[6]"]
+
+
+def test_lists_of_one_kind_count_apart_and_start_where_told(spark):
+    levels = [[(1, "decimal", ".".join(f"%{j + 1}" for j in range(i + 1))) for i in range(9)]]
+    second = '<w:num w:numId="2"><w:abstractNumId w:val="0"/>' + "".join(f'<w:lvlOverride w:ilvl="{i}"><w:startOverride w:val="1"/></w:lvlOverride>' for i in range(9)) + "</w:num>"
+    rows = [("x", num, level, "") for num, level in [(1, 1), (1, 3), (1, 4), (1, 4), (1, 6), (1, 4), (1, 6), (2, 2), (2, 2)]]
+    got = file_numbers(spark, {"f": word_file(rows, levels, LIST.format("") + second)})
+    assert [x[3] for x in got] == ["1.1", "1.1.1.1", "1.1.1.1.1", "1.1.1.1.2", "1.1.1.1.2.1.1", "1.1.1.1.3", "1.1.1.1.3.1.1", "1.1.1", "1.1.2"]
+
+
+def test_alternate_content_counts_once_and_deleted_paragraphs_do_not(spark):
+    p = '<w:p><w:pPr><w:numPr><w:ilvl w:val="0"/><w:numId w:val="1"/></w:numPr>{1}</w:pPr><w:r><w:t>{0}</w:t></w:r></w:p>'
+    box = f'<w:p><w:r><mc:AlternateContent><mc:Choice>{p.format("tb", "")}</mc:Choice><mc:Fallback>{p.format("tb", "")}</mc:Fallback></mc:AlternateContent></w:r></w:p>'
+    body = box + p.format("a", "") + p.format("gone", "<w:rPr><w:del/></w:rPr>") + p.format("b", "")
+    content = package(
+        word__document=f'<w:document {W} xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006"><w:body>{body}</w:body></w:document>',
+        word__numbering=f'<w:numbering {W}><w:abstractNum w:abstractNumId="0"><w:lvl w:ilvl="0"><w:start w:val="1"/><w:numFmt w:val="decimal"/><w:lvlText w:val="%1."/></w:lvl></w:abstractNum>{LIST.format("")}</w:numbering>',
+    )
+    assert [x[2:] for x in file_numbers(spark, {"f": content})] == [("tb", "1."), ("a", "2."), ("b", "3.")]
+
+
+def test_deep_and_odd_pages(spark):
+    deep = "<div>" * 10_000 + "x <b>y</b>" + "</div>" * 10_000
+    lists = "<ol start=0><li>a</li></ol><ol start=2024><li>b<ul><li>c</li></ul></li></ol><ol start=x><li>d</li></ol><ol start=-2><li>e</li></ol>"
+    cells = "<table><tr><td rowspan=99999999>r</td><td colspan=0>c</td></tr><tr><td>d</td></tr></table>"
+    d = spark.createDataFrame([(1, deep), (2, lists), (3, "<b>" * 9000 + "z"), (4, cells), (5, "<ul><li>" * 3000 + "q")], "k int, html string")
+    got = {}
+    for r in html.page_blocks(d, "k", "html").orderBy("k", "seq").collect():
+        got.setdefault(r["k"], []).append(r["md"])
+    assert got[1] == ["x**y**"] or got[1] == ["x **y**"]
+    assert got[2] == ["0. a", "2024. b\n  - c", "1. d", "-2. e"]
+    assert got[4] == ["| r | c |\n|---|---|\n| r | d |"]
+    assert got[3][0].strip("*") == "z" and got[5][0].endswith("- q")
+
+
+def test_links_and_entities_however_written(spark):
+    page = "<a href='/a?x=1&amp;y=2'>A &#65;&#x42; &amp;lt; &#0; &#xD800; &#128512;</a><a class=c HREF = /b >B&nbsp;&ldquo;c&rdquo;</a><a name=n>no</a><a href=\"/c'd\">C</a>"
+    got = [(r["href"], r["label"]) for r in html.links(spark.createDataFrame([(1, page)], "k int, html string"), "k", "html").orderBy("seq").collect()]
+    assert got == [("/a?x=1&y=2", "A AB &lt; &#0; &#xD800; \U0001f600"), ("/b", "B “c”"), ("/c'd", "C")]
+
+
 def test_sheet_cells(spark):
     s = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     content = package(
@@ -74,6 +155,19 @@ def test_sheet_cells(spark):
     assert got == {(1, 1): ("hello", None, None, "General"), (2, 28): (None, 2.5, None, "0.00"), (1, 2): (None, None, True, "General")}
 
 
+def test_bad_cells_are_null_and_the_active_sheet_is_found_by_its_relationship(spark):
+    s = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    cells = '<c r="A1"><v>abc</v></c><c r="B1" t="s"><v>7</v></c><c r="C1" t="s"><v>x</v></c><c r="D1" s="99"><v>4</v></c><c r="E1" s="q" t="b"><v>0</v></c>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {s}><bookViews><workbookView activeTab="1"/></bookViews><sheets><sheet name="a" sheetId="1" r:id="r1"/><sheet name="b" sheetId="2" r:id="r2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet2.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {s}><sheetData><row>{cells}</row></sheetData></worksheet>")
+        z.writestr("xl/worksheets/sheet2.xml", f'<worksheet {s}><sheetData><row><c r="A1"><v>9</v></c></row></sheetData></worksheet>')
+    got = {r["c"]: (r["v_str"], r["v_num"], r["v_bool"]) for r in office.sheet_cells(spark.createDataFrame([("f", out.getvalue())], "path string, content binary")).collect()}
+    assert got == {1: (None, None, None), 2: (None, None, None), 3: (None, None, None), 4: (None, 4.0, None), 5: (None, None, False)}
+
+
 def test_docx_round_trip(spark):
     md = "# T\n\na **b** [l](http://x)\n\n| h | i |\n|---|---|\n| 1 | 2 |\n\n- x\n- y"
     d = spark.createDataFrame([("f", md)], "path string, text string")
