@@ -12,6 +12,11 @@ from . import constants as K
 _WS = K.WS
 
 
+def once(c: Column, use) -> Column:
+    """use(c), with c worked out once however often ``use`` names it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space (Unicode) at either end."""
     return F.regexp_replace(c, f"^{_WS}+|{_WS}+$", "")
@@ -28,10 +33,13 @@ def lstrip(c: Column) -> Column:
 def normal_spaces(c: Column) -> Column:
     """White space of a text node: no-break and ideographic spaces become spaces, line breaks with the blanks
     around them and runs of tabs one space each; a node of layout white space only becomes empty."""
-    folded = F.regexp_replace(F.regexp_replace(c, r"[ \t]*\r?\n[ \t\r\n]*", " "), r"\t+", " ")
-    meant = c.rlike(r"[\x{A0}\x{3000}]")
-    out = F.translate(folded, " 　", "  ")
-    return F.when(~meant & ~folded.rlike(K.NOT_WS), F.lit("")).otherwise(out)
+
+    def fold(t: Column) -> Column:
+        folded = F.regexp_replace(F.regexp_replace(t, r"[ \t]*\r?\n[ \t\r\n]*", " "), r"\t+", " ")
+        meant = t.rlike(r"[\x{A0}\x{3000}]")
+        return once(folded, lambda f: F.when(~meant & ~f.rlike(K.NOT_WS), F.lit("")).otherwise(F.translate(f, "\u00a0\u3000", "  ")))
+
+    return once(c, fold)
 
 
 def without_spaces(c: Column) -> Column:

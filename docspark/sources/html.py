@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import once, strip
 
 DROPPED = ("script", "style", "meta", "link")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -42,8 +42,6 @@ ENTITIES = (
 def entities(text: Column) -> Column:
     """ENTITIES and numeric character references, decimal and hexadecimal, of code points that are no control characters,
     surrogates or byte order marks; each is resolved once."""
-    marks = F.regexp_extract_all(text, F.lit(NUMERIC), F.lit(0))
-    gaps = F.split(text, NUMERIC, -1)
 
     def named(x: Column) -> Column:
         for name, sign in ENTITIES:
@@ -58,8 +56,12 @@ def entities(text: Column) -> Column:
         # A code point's four bytes spell it.
         return F.when(good, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(x)
 
-    spelled = F.concat_ws("", F.flatten(F.transform(gaps, lambda g, i: F.array_compact(F.array(named(g), F.when(i < F.size(marks), sign(F.get(marks, i))))))))
-    return F.when(text.contains("&#"), spelled).otherwise(F.when(text.contains("&"), named(text)).otherwise(text))
+    def spelled(x: Column) -> Column:
+        marks, gaps = F.regexp_extract_all(x, F.lit(NUMERIC), F.lit(0)), F.split(x, NUMERIC, -1)
+        signs = F.concat(F.transform(marks, sign), F.array(F.lit("")))
+        return F.concat_ws("", F.flatten(F.zip_with(F.transform(gaps, named), signs, lambda g, s: F.array(g, s))))
+
+    return once(text, lambda x: F.when(x.contains("&#"), spelled(x)).when(x.contains("&"), named(x)).otherwise(x))
 
 
 NUMERIC = "&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
