@@ -30,6 +30,16 @@ from .suffix_dedup import GROUP, SENT, SENT_SQL, SLICE, _batch, _sorted_docs, _t
 U64 = np.uint64
 
 
+def _second_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Another hash of every word, independent of that of :func:`_words`, worked out in slices of words."""
+    out, i = [], 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + 8 * SLICE, "right")))
+        out.append(tc.word_hashes(data[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i], tc.SECOND_VALUE))
+        i = j
+    return np.concatenate(out) if out else np.empty(0, U64)
+
+
 def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end (in data) of every word, and the first word of each document (n+1)."""
     hs, ss, es = [], [], []
@@ -75,11 +85,6 @@ def _aligned(first: np.ndarray, n: int, block: int) -> np.ndarray:
     return (np.arange(n) - first[doc]) % block
 
 
-def _cuts(values: np.ndarray, parts: int, bits: int) -> np.ndarray:
-    edges = [-(-(p << bits) // parts) for p in range(1, parts)]
-    return np.concatenate([[0], np.searchsorted(values, np.array(edges, U64)), [len(values)]]).astype(np.int64)
-
-
 def repeated(
     docs: DataFrame, window: int = 35, groups: int | None = None, parts: int | None = None
 ) -> DataFrame:
@@ -90,35 +95,36 @@ def repeated(
     Rows that repeat a doc_id are documents of their own; rows that repeat doc_id and
     text stand for one document (each gets its result). Texts under ``window`` words have
     no spans; an empty table gives an empty result; further columns are ignored.
+
+    A group sends a row to each part that it has probes or windows for: never more rows than groups times parts,
+    nor than distinct probes, which grow with the input.
     """
     block = (window + 1) // 2
     groups = groups or parts_for(docs, GROUP)
     parts = parts or parts_for(docs, GROUP)
     # Wide enough that a probe hits a foreign block by chance once in about 2**17 times. Such a hit costs
-    # work only: windows are told apart by 96 bits.
+    # work only: windows are told apart by 64 bits made from one hash of their words and 32 from another.
     bits = min(60, max(36, math.ceil(math.log2(max(2, input_bytes(docs) / 4 / block))) + 17))
     texts = keyed(docs, groups)
 
     def probes(t: pa.Table):
         _, _, data, at = _sorted_docs(t, once=True)
-        h, _, _, first = _words(data, at)
+        h, starts, ends, first = _words(data, at)
         p = tc.mix64(tc.roll(h, block)) >> U64(64 - bits)
         ok = _valid(first, len(h), block)
-        return h, first, p, ok
+        return h, first, p, ok, lambda: _second_hashes(data, starts, ends)
 
     def send_probes(t: pa.Table) -> pa.Table:
         grp = t.column("grp")[0].as_py()
-        h, first, p, ok = probes(t)
+        h, first, p, ok, _ = probes(t)
         blocks = np.unique(p[ok & (_aligned(first, len(h), block)[: len(p)] == 0)])
         values, counts = np.unique(p[ok], return_counts=True)
         rows = []
-        cuts, bcuts = _cuts(values, parts, bits), _cuts(blocks, parts, bits)
-        for x in range(parts):
-            a, b = cuts[x], cuts[x + 1]
-            if b > a:
-                twice = np.packbits(counts[a:b] > 1).tobytes()
-                mine = tc.pack_sorted(blocks[bcuts[x] : bcuts[x + 1]])
-                rows.append((x, grp, tc.pack_sorted(values[a:b]), len(twice).to_bytes(4, "little") + twice + mine))
+        for x, a, b in zip(*(x.tolist() for x in tc.dealt(values, parts, bits))):
+            twice = np.packbits(counts[a:b] > 1).tobytes()
+            # Every block is a probe of its own document.
+            c, d = np.searchsorted(blocks, values[a]), np.searchsorted(blocks, values[b - 1], "right")
+            rows.append((x, grp, tc.pack_sorted(values[a:b]), len(twice).to_bytes(4, "little") + twice + tc.pack_sorted(blocks[c:d])))
         return _table(rows, SENT)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,13 +155,10 @@ def repeated(
 
     def candidates(t: pa.Table, answers: pa.Table):
         """Words, first words, and the windows around hit blocks: place, high and low hash, in order of the hash."""
-        h, first, p, ok = probes(t)
+        h, first, p, ok, second = probes(t)
         values = np.unique(p[ok])
-        cuts = _cuts(values, parts, bits)
         hit = np.zeros(len(values) + 1, bool)
-        for x, b in zip(answers.column("bucket").to_pylist(), answers.column("a").to_pylist()):
-            lo, hi = cuts[x], cuts[x + 1]
-            hit[lo:hi] = np.unpackbits(np.frombuffer(b, np.uint8), count=hi - lo).astype(bool)
+        _set_bits(hit, tc.dealt(values, parts, bits), answers)
         if not hit.any() or len(h) < window:
             return None
         own = np.flatnonzero(ok & (_aligned(first, len(h), block)[: len(p)] == 0))
@@ -169,7 +172,7 @@ def repeated(
         places = np.flatnonzero((np.cumsum(held)[: len(ok)] > 0) & ok)
         w = tc.roll(h, window)[places]
         high = tc.mix64(w)
-        low = (tc.mix64(tc.roll(h ^ U64(0x5851F42D4C957F2D), window, 0xD1342543DE82EF95)[places]) & U64(0xFFFFFFFF)).astype(np.uint32)
+        low = (tc.mix64(tc.roll(second(), window, 0xD1342543DE82EF95)[places]) & U64(0xFFFFFFFF)).astype(np.uint32)
         order = np.lexsort((low, high))
         return h, first, places[order], high[order], low[order]
 
@@ -181,11 +184,9 @@ def repeated(
         _, _, _, high, low = got
         new, twice = _distinct(high, low)
         high, low = high[new], low[new]
-        cuts = _cuts(high, parts, 64)
         rows = [
             (x, grp, tc.pack_sorted(high[a:b]), low[a:b].tobytes() + np.packbits(twice[a:b]).tobytes())
-            for x, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))
-            if b > a
+            for x, a, b in zip(*(x.tolist() for x in tc.dealt(high, parts)))
         ]
         # The answers go along to the last step, which has to find the same windows again.
         for x, b in zip(answers.column("bucket").to_pylist(), answers.column("a").to_pylist()):
@@ -228,11 +229,8 @@ def repeated(
             if got is not None and windows.num_rows:
                 _, once_first, places, high, low = got
                 new, _ = _distinct(high, low)
-                cuts = _cuts(high[new], parts, 64)
                 hit = np.zeros(len(new), bool)
-                for x, b in zip(windows.column("bucket").to_pylist(), windows.column("a").to_pylist()):
-                    lo, hi = cuts[x], cuts[x + 1]
-                    hit[lo:hi] = np.unpackbits(np.frombuffer(b, np.uint8), count=hi - lo).astype(bool)
+                _set_bits(hit, tc.dealt(high[new], parts), windows)
                 places = places[np.repeat(hit, np.diff(np.append(new, len(places))))]
                 if len(first) != len(once_first):
                     # Rows that repeat id and text were sent once: carry their windows over to each.
@@ -272,6 +270,15 @@ def repeated(
     return out.withColumn("doc_id", real_id(F.col("doc_id")))
 
 
+def _set_bits(hit: np.ndarray, dealt: tuple[np.ndarray, ...], answers: pa.Table) -> None:
+    """Sets ``hit`` where the answers of the parts have a bit."""
+    numbers, starts, ends = dealt
+    for p, bits in zip(answers.column("bucket").to_pylist(), answers.column("a").to_pylist()):
+        x = np.searchsorted(numbers, p)
+        lo, hi = int(starts[x]), int(ends[x])
+        hit[lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo).astype(bool)
+
+
 def _distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of sorted pairs, the first of each value, and whether the value occurs more than once."""
     new = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])[: len(high)])

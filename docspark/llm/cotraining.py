@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -122,13 +123,22 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 25)
     return w
 
 
-def reliance(odds: np.ndarray, y: np.ndarray, least: float = 0.05) -> float:
-    """How much a view's order of good before bad rows is worth: 1 if all pairs are right, ``least`` if only half are."""
+def ordered(odds: np.ndarray, y: np.ndarray) -> float:
+    """The share of pairs of a good and a bad row in which the good one is placed higher; ties count half."""
     _, at, n = np.unique(odds, return_inverse=True, return_counts=True)
     rank = (np.cumsum(n) - (n - 1) / 2)[at]
     good = int(y.sum())
-    right = (rank[y == 1].sum() - good * (good + 1) / 2) / max(good * (len(y) - good), 1)
-    return max(least, 2 * right - 1)
+    return float((rank[y == 1].sum() - good * (good + 1) / 2) / max(good * (len(y) - good), 1))
+
+
+def reliance(odds: np.ndarray, y: np.ndarray, least: float = 0.05) -> float:
+    """How much a view's order of good before bad rows is worth: 1 if all pairs are right, ``least`` if only half are.
+
+    A standard error of chance is taken off, so that a view which happens to order few rows well lends little.
+    """
+    good = int(y.sum())
+    chance = math.sqrt((1 / max(good, 1) + 1 / max(len(y) - good, 1)) / 12)
+    return max(least, 2 * (ordered(odds, y) - chance) - 1)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -171,7 +181,8 @@ def fit(
 ) -> Model:
     """Trains both views. Labelled rows are at most ``most_labelled``, those of the smallest hash of doc_id.
 
-    A fifth of them calibrates. In each round every document without a label among them is
+    A tenth of them calibrates each view, another tenth fits how the views are combined, the rest teaches (with too
+    few rows of either kind all do all). In each round every document without a label among them is
     scored by both views, and each view learns from the ``share`` of them that the other
     one places furthest at its two ends, split between the ends as the labels are between
     the kinds. Together they weigh no more than the labelled rows times the :func:`reliance`
@@ -216,12 +227,11 @@ def fit(
         return Model([], np.zeros(3), float(np.mean(rows.column("y").to_pylist() or [1])))
     y = rows.column("y").to_numpy().astype(float)
     x = [v.astype(float) for v in _unpacked(rows)]
-    held = tc.mix64(rows.column("doc_id").to_numpy().view(np.uint64)) % np.uint64(5) == 0
-    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        held = np.ones(len(y), bool)
-        learn = held
-    else:
-        learn = ~held
+    tenth = tc.mix64(rows.column("doc_id").to_numpy().view(np.uint64)) % np.uint64(10)
+    held, both = tenth == 0, tenth == 1
+    learn = tenth > 1
+    if any(len(set(y[part])) < 2 for part in (held, both, learn)):
+        held = both = learn = np.ones(len(y), bool)
     views = [View(v[learn].mean(0), np.maximum(v[learn].std(0), 1e-3)) for v in x]
     own = [_sums(v.design(f[learn]), 2 * y[learn] - 1) for v, f in zip(views, x)]
 
@@ -242,8 +252,8 @@ def fit(
             # The constant's square counts rows.
             weight = t * min(1.0, s[-2, -2] / max(more[-2, -2], 1.0))
             settle(v, s + weight * more, f)
-    logits = np.stack([v.log_odds(f[held]) for v, f in zip(views, x)], axis=1)
-    return Model(views, logistic(logits, y[held], ridge=1.0))
+    logits = np.stack([v.log_odds(f[both]) for v, f in zip(views, x)], axis=1)
+    return Model(views, logistic(logits, y[both], ridge=1.0))
 
 
 def _unpacked(rows) -> list[np.ndarray]:
@@ -385,6 +395,20 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     return _scored(docs, model).where(F.col("score.quality_score") >= least).select("row.*")
 
 
+def held_out_figures(docs: DataFrame, labels: DataFrame, most: int = 20_000, **options) -> dict[str, tuple[float, float]]:
+    """(accuracy, area under the curve) of each view and of both together, on a fifth of the labels that :func:`fit` does
+    not see. At most ``most`` scored labels come to the driver."""
+    fifth = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("held out")), F.lit(5))
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
+    model = fit(docs, known.where(fifth != 0), **options)
+    held = known.where(fifth == 0).groupBy(F.col("doc_id").cast("long").alias("held_id")).agg(F.min("quality").alias("y"))
+    own = docs.join(held, docs["doc_id"].cast("long") == held["held_id"])
+    rows = _scored(own, model).select(F.col("row.y").alias("y"), "score.*").limit(most).collect()
+    y = np.array([r["y"] for r in rows])
+    found = {c: np.array([r[c] for r in rows]) for c in ("p_text", "p_page", "quality_score")}
+    return {c: (float(((p >= 0.5) == (y == 1)).mean()), ordered(p, y)) for c, p in found.items()}
+
+
 def op4_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, p_text, p_page, quality_score (0 to 1), accepted for every document."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")

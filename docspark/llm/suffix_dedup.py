@@ -77,12 +77,6 @@ def _own_anchors(t: pa.Table, window: int, k: int) -> tuple[np.ndarray, np.ndarr
     return values, counts > 1
 
 
-def _bucket_cuts(values: np.ndarray, parts: int) -> np.ndarray:
-    """Where sorted 64-bit values pass from one of ``parts`` equal ranges to the next."""
-    edges = [-(-(p << 64) // parts) for p in range(1, parts)]
-    return np.concatenate([[0], np.searchsorted(values, np.array(edges, U64)), [len(values)]]).astype(np.int64)
-
-
 def repeated(
     docs: DataFrame, window: int = 100, k: int = 32, groups: int | None = None, parts: int | None = None
 ) -> DataFrame:
@@ -94,6 +88,9 @@ def repeated(
     text, and rows that repeat both stand for one document (each gets its result).
     Texts under ``window`` bytes have no spans; an empty table gives an empty result;
     further columns are ignored.
+
+    A group sends a row to each part that it has anchors for: never more rows than groups times parts, nor than
+    distinct anchors, which grow with the input.
     """
     groups = groups or parts_for(docs, GROUP)
     parts = parts or parts_for(docs, GROUP)
@@ -102,11 +99,9 @@ def repeated(
     def send_anchors(t: pa.Table) -> pa.Table:
         grp = t.column("grp")[0].as_py()
         values, twice = _own_anchors(t, window, k)
-        cuts = _bucket_cuts(values, parts)
         rows = [
             (p, grp, tc.pack_sorted(values[a:b]), np.packbits(twice[a:b]).tobytes())
-            for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))
-            if b > a
+            for p, a, b in zip(*(x.tolist() for x in tc.dealt(values, parts)))
         ]
         return _table(rows, SENT)
 
@@ -156,23 +151,21 @@ def repeated(
         if out:
             h = np.array([x[0] for x in out], U64)
             order = np.argsort(h, kind="stable")
-            cuts = _bucket_cuts(h[order], parts)
-            for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-                if b > a:
-                    mine = [out[x] for x in order[a:b]]
-                    d = np.array([x[3] for x in mine])
-                    fixed = np.rec.fromarrays(
-                        [
-                            np.array([x[0] for x in mine], U64),
-                            np.array([x[1] for x in mine], np.uint16),
-                            np.array([len(x[2]) for x in mine], np.uint16),
-                            ids[d],
-                            ths[d],
-                            np.array([x[4] for x in mine], np.int64),
-                        ],
-                        names="h,off,len,id,th,start",
-                    )
-                    rows.append((p, grp, fixed.tobytes(), b"".join(x[2] for x in mine)))
+            for p, a, b in zip(*(x.tolist() for x in tc.dealt(h[order], parts))):
+                mine = [out[x] for x in order[a:b]]
+                d = np.array([x[3] for x in mine])
+                fixed = np.rec.fromarrays(
+                    [
+                        np.array([x[0] for x in mine], U64),
+                        np.array([x[1] for x in mine], np.uint16),
+                        np.array([len(x[2]) for x in mine], np.uint16),
+                        ids[d],
+                        ths[d],
+                        np.array([x[4] for x in mine], np.int64),
+                    ],
+                    names="h,off,len,id,th,start",
+                )
+                rows.append((p, grp, fixed.tobytes(), b"".join(x[2] for x in mine)))
         return _table(rows, SENT)
 
     def sort_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,10 +261,11 @@ def _spans(ids, ths, start, end) -> bytes:
 
 def _answers(values: np.ndarray, answers: pa.Table, parts: int) -> np.ndarray:
     """Those of a group's sorted values whose bit is set in the answers of the buckets."""
-    cuts = _bucket_cuts(values, parts)
+    numbers, starts, ends = tc.dealt(values, parts)
     hit = np.zeros(len(values), bool)
     for p, bits in zip(answers.column("bucket").to_pylist(), answers.column("a").to_pylist()):
-        a, b = cuts[p], cuts[p + 1]
+        x = np.searchsorted(numbers, p)
+        a, b = int(starts[x]), int(ends[x])
         hit[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
     return values[hit]
 

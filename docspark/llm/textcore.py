@@ -29,7 +29,7 @@ def randoms(n: int, seed: int) -> np.ndarray:
     return mix64((np.arange(1, n + 1, dtype=U64) + U64(seed)) * U64(MULT))
 
 
-BYTE_VALUE = randoms(256, 12345)
+BYTE_VALUE, SECOND_VALUE = randoms(256, 12345), randoms(256, 987654321)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -80,14 +80,14 @@ def words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A mixed 64-bit hash of each word's bytes."""
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, byte_value: np.ndarray = BYTE_VALUE) -> np.ndarray:
+    """A mixed 64-bit hash of each word's bytes; other numbers for the bytes make another hash."""
     if not len(starts):
         return np.empty(0, U64)
     powers = _powers(len(buf))
     sums = np.empty(len(buf) + 1, U64)
     sums[0] = 0
-    np.cumsum(BYTE_VALUE[buf] * powers[0][: len(buf)], out=sums[1:])
+    np.cumsum(byte_value[buf] * powers[0][: len(buf)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * powers[1][starts]
     return mix64(h + (ends - starts).astype(U64))
 
@@ -121,6 +121,16 @@ def slices(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def dealt(values: np.ndarray, parts: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted numbers of ``bits`` bits dealt by equal ranges to ``parts``: the parts that get any, and where theirs begin and end.
+
+    The work grows with the numbers, not with the parts.
+    """
+    part = (((values >> U64(bits - 32)) * U64(parts)) >> U64(32)).astype(np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)])
+    return part[starts], starts, np.append(starts[1:], len(part))[: len(starts)]
+
+
 def pack_sorted(values: np.ndarray) -> bytes:
     """Sorted 64-bit numbers as differences, each in as few bytes as the largest needs."""
     if not len(values):

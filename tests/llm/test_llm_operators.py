@@ -407,6 +407,30 @@ def test_cotraining_with_weak_metadata_lends_both_ways(spark, monkeypatch):
     assert sum((got[i] >= 0.5) == (i % 4 != 0) for i in range(0, 1200, 3)) / 400 > 0.97
 
 
+def test_the_exchange_teaches_a_view_with_few_labels(spark):
+    """Metadata that tell a lot lend rows to the text view, which alone learns little from few labels."""
+    random.seed(21)
+    rows, labels = [], []
+    for i in range(2400):
+        bad = i % 2 == 0
+        # The kinds of text differ in how frequent letters are, by a little each.
+        odds = [1.12 if (x < 10) == bad else 0.88 for x in range(20)]
+        words = ["".join(random.choices("abcdefghijklmnopqrst", odds, k=random.randint(2, 9))) for _ in range(12)]
+        rows.append((i, " ".join(words), "ab"[bad ^ (random.random() < 0.03)]))
+        if i % 30 < 2:
+            labels.append((i, 0 if bad else 1))
+    d = frame(spark, rows).repartition(4)
+    l = spark.createDataFrame(labels, "doc_id long, quality int")  # noqa: E741
+    unseen = [i for i in range(2400) if i % 30 >= 2]
+    found = {}
+    for rounds in (0, 2):
+        got = {r["doc_id"]: r for r in cotraining.scored(d, cotraining.fit(d, l, rounds=rounds)).collect()}
+        for c in ("p_text", "p_page", "quality_score"):
+            found[c, rounds] = sum((got[i][c] >= 0.5) == (i % 2 == 1) for i in unseen) / len(unseen)
+    assert found["p_text", 2] > found["p_text", 0] + 0.003, found
+    assert found["quality_score", 2] >= max(found["p_text", 2], found["p_page", 2]) - 0.02, found
+
+
 def test_cotraining_ends_count_equal_scores_in_part():
     low, high = cotraining._ends(np.array([4.0, 0, 2, 10]), 5, 3)
     assert low.tolist() == [1, 0, 0.5, 0] and high.tolist() == [0, 0, 0, 0.3]
