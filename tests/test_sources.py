@@ -2,11 +2,12 @@
 
 import io
 import zipfile
+from xml.etree import ElementTree
 
 from pyspark.sql import functions as F
 
 from docspark.operators import blocks, lines, numbering
-from docspark.sources import docx_writer, encodings, html, office
+from docspark.sources import docx_writer, encodings, html, markdown_sink, office
 from docspark.streaming import ingest
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -176,6 +177,35 @@ def test_docx_round_trip(spark):
     assert [g for g in got if g[0]] == [("Title", False), ("T", False), ("a b l", False), ("h", True), ("i", True), ("1", True), ("2", True), ("• x", False), ("• y", False)]
 
 
+def test_docx_lists_keep_their_marks_and_images_and_footers_are_written(spark):
+    md = "- a **b** [l](http://x)\n- `c`\n\n1. *i*\n\n> q **r**\n\n![pic](a.png)\n\n![gone](b.png)"
+    d = spark.createDataFrame([("f", md)], "path string, text string")
+    png = b"\x89PNG\r\n\x1a\n rest"
+    images = spark.createDataFrame([("f", "a.png", png, 1152, 96), ("f", "c.png", png, 1, 1)], "path string, src string, content binary, width int, height int")
+    docs = docx_writer.documents(blocks.blocks(lines.lines_of(d, "path", "text"), "path"), "path", images=images, footer="- {N} of <9>")
+    with zipfile.ZipFile(io.BytesIO(docs.first()["content"])) as z:
+        parts = {n: z.read(n) for n in z.namelist()}
+    body, rels = parts["word/document.xml"].decode(), parts["word/_rels/document.xml.rels"].decode()
+    for name in [n for n in parts if n.endswith((".xml", ".rels"))]:
+        ElementTree.fromstring(parts[name])
+    assert [r["text"] for r in office.paragraphs(docs).orderBy("seq").collect()] == ["• a b l", "• c", "1. i", "q r", "", "[image missing: b.png]"]
+    assert body.count("<w:b/>") == 2 and body.count("<w:i/>") == 3 and "Consolas" in body and "**" not in body
+    assert 'r:id="rLink1"' in body and 'Id="rLink1"' in rels and 'Target="http://x"' in rels
+    assert parts["word/media/image1.png"] == png and 'r:embed="rImage1"' in body and 'Target="media/image1.png"' in rels and "media/image2.png" not in rels
+    assert f'cx="{6 * 914_400}" cy="{914_400 // 2}"' in body and 'Extension="png"' in parts["[Content_Types].xml"].decode()
+    footer = parts["word/footer1.xml"].decode()
+    assert footer.index("- <") < footer.index("PAGE") < footer.index(" of &lt;9&gt;")
+
+
+def test_markdown_files(spark, tmp_path):
+    d = spark.createDataFrame([("a/b", "# x\n"), ("c", None), (None, "y"), ("d", "é")], "k string, t string")
+    for folders in (1, 4):
+        out = markdown_sink.write_markdown(d, "k", "t", str(tmp_path / str(folders)), folders)
+        got = {r["k"]: r["file"] for r in out.collect()}
+        assert {k: open(f, encoding="utf-8", newline="").read() for k, f in got.items()} == {"a/b": "# x\n", "c": "", "d": "é"}
+        assert {f.name for f in (tmp_path / str(folders)).rglob("*") if f.is_file()} == {"a_b.md", "c.md", "d.md"}
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.md").write_bytes(b"\xef\xbb\xbf# a")
