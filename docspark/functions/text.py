@@ -195,6 +195,11 @@ def fenced(c: Column, language: str) -> Column:
     return F.regexp_extract(c, rf"(?s)```{re.escape(language)}[ \t]*\n(.*?)```", 1)
 
 
+def required_fence(c: Column, language: str) -> Column:
+    """What the first fence of a language holds, without the blanks at its ends; an error if there is none or it is empty."""
+    return once(strip(fenced(c, language)), lambda x: F.when(x != "", x).otherwise(F.raise_error(F.lit(f"no ```{language} block in the style"))))
+
+
 def fence_entries(c: Column, language: str) -> Column:
     """Lines of the first fence of a language without blank and # lines."""
     return F.filter(F.transform(F.split(fenced(c, language), "\n"), strip), lambda x: (x != "") & ~x.startswith("#"))

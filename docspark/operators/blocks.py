@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from html import escape
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import constants as K
-from ..functions.text import strip
+from ..functions.text import inline_tokens, is_separator_row, split_row, strip
 from .lines import in_order
 
 
@@ -87,6 +89,56 @@ def blocks(lines: DataFrame, key: str) -> DataFrame:
     )
 
 
+def inline_html(line: Column) -> Column:
+    """Inline Markdown as HTML; text is escaped."""
+
+    def escaped(c: Column) -> Column:
+        for sign, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ('"', "quot")):
+            c = F.replace(c, F.lit(sign), F.lit(f"&{name};"))
+        return c
+
+    def tag(t: Column) -> Column:
+        text, kind = escaped(t["text"]), t["kind"]
+        out = F.when(kind == "break", F.lit("<br>"))
+        for name, element in (("bold", "strong"), ("italic", "em"), ("strike", "del"), ("code", "code")):
+            out = out.when(kind == name, F.concat(F.lit(f"<{element}>"), text, F.lit(f"</{element}>")))
+        out = out.when(kind == "link", F.concat(F.lit('<a href="'), escaped(t["href"]), F.lit('">'), text, F.lit("</a>")))
+        out = out.when(kind == "image", F.concat(F.lit('<img src="'), escaped(t["href"]), F.lit('" alt="'), text, F.lit('">')))
+        return out.otherwise(text)
+
+    return F.concat_ws("", F.transform(inline_tokens(line), tag))
+
+
+def html_documents(blocks: DataFrame, key: str, css: str = "", title: str = "") -> DataFrame:
+    """(key, html): Markdown blocks as one page with a style sheet, as a browser prints them. blocks: as :func:`blocks`
+    gives them. The first row of a table is its head and the rule below it goes; code is shown as it is."""
+    lines = F.split("text", "\n", -1)
+    wrapped = lambda a, x, b: F.concat(F.lit(a), x, F.lit(b))
+    items = lambda a, b: F.concat_ws("", F.transform(lines, lambda x: wrapped(a, inline_html(x), b)))
+    row = lambda x, e: wrapped("<tr>", F.concat_ws("", F.transform(split_row(x), lambda c: wrapped(f"<{e}>", inline_html(c), f"</{e}>"))), "</tr>")
+    body = F.filter(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: ~is_separator_row(x))
+    table = wrapped("<table>", F.concat(row(F.get(lines, F.lit(0)), "th"), F.concat_ws("", F.transform(body, lambda x: row(x, "td")))), "</table>")
+    plain = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    code = wrapped("<pre><code>", F.regexp_replace(plain, r"^\s*(?:```|~~~)[^\n]*\n?|\n?\s*(?:```|~~~)\s*$", ""), "</code></pre>")
+    level = F.coalesce(F.col("level"), F.lit(1)).cast("string")
+    heading = F.concat(F.lit("<h"), level, F.lit(">"), inline_html(F.col("text")), F.lit("</h"), level, F.lit(">"))
+    kind = F.col("kind")
+    html = (
+        F.when(kind == "heading", heading)
+        .when(kind == "table", table)
+        .when(kind == "code", code)
+        .when(kind == "rule", F.lit("<hr>"))
+        .when(kind == "bullet", wrapped("<ul>", items("<li>", "</li>"), "</ul>"))
+        .when(kind == "ordered", wrapped("<ol>", items("<li>", "</li>"), "</ol>"))
+        .when(kind == "quote", wrapped("<blockquote>", items("<p>", "</p>"), "</blockquote>"))
+        .otherwise(wrapped("<p>", inline_html(F.col("text")), "</p>"))
+    )
+    parts = blocks.select(key, F.col("block").alias("_block"), html.alias("_html"))
+    out = document_order(parts, key, ["_block"], "_html", "\n")
+    head = f'<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>{escape(title)}</title><style>\n{css}\n</style></head><body>\n'
+    return out.select(key, F.concat(F.lit(head), F.col("text"), F.lit("\n</body></html>\n")).alias("html"))
+
+
 def renumbered(lines: DataFrame, key: str) -> DataFrame:
     """Items of ordered lists with numbers from 1 in each run, whatever the source says: (key, lineno, number, text)."""
     c = classified(lines, key)

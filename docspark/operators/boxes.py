@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -105,6 +106,28 @@ def triage(rows: DataFrame, key: str, gap: float = K.COLUMN_GAP) -> DataFrame:
     return s.select(key, kinds[F.col("reason")].alias("category"), "boxes", "char_count", "n_rows", "n_cols", F.round("_avg", 1).alias("avg_chars"), "reason")
 
 
+def recognised(images: DataFrame, key: str, engine: Callable[[bytes], Iterable[tuple]]) -> DataFrame:
+    """(key, seq, x0, y0, x1, y1, text): what any recognition engine reads in images. images: key, content.
+
+    engine: a function from an image's bytes to (x0, y0, x1, y1, text) of its boxes, sent to the executors; it may keep
+    what it loads in a global of its own. A null image, and one that the engine raises ValueError for, has no boxes.
+    """
+
+    def read(content) -> list[tuple]:
+        try:
+            return [] if content is None else list(engine(bytes(content)))
+        except ValueError:
+            return []
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, i, *map(float, box[:4]), str(box[4])) for k, content in zip(batch[key], batch["content"]) for i, box in enumerate(read(content))]
+            yield pd.DataFrame(rows, columns=[key, "seq", "x0", "y0", "x1", "y1", "text"])
+
+    kind = dict(images.dtypes)[key]
+    return images.select(key, "content").mapInPandas(run, f"{key} {kind}, seq long, x0 double, y0 double, x1 double, y1 double, text string")
+
+
 def category_counts(images: DataFrame) -> DataFrame:
     return images.groupBy("category").agg(F.count("*").alias("n"))
 

@@ -540,6 +540,32 @@ def fonts_missing(spark, sf_dir):
     return audit.missing_names(required, installed, "family", text.font_key)
 
 
+@query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_name || CASE WHEN c_custkey % 4 = 1 THEN '  ' ELSE ' ' END || c_mktsegment END AS shown FROM customer"""
+)
+def text_cells(spark, sf_dir):
+    """Strings as cells show them: line breaks as spaces, null empty."""
+    k = F.col("c_custkey") % 4
+    gap = F.when(k == 1, F.lit("\r\n")).when(k == 2, F.lit("\n")).otherwise(F.lit("\r"))
+    cell = F.when(k != 0, F.concat(F.lit(" \n"), F.col("c_name"), gap, F.col("c_mktsegment"), F.lit("\r\n")))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.string_text(cell).alias("shown"))
+
+
+@query(
+    """SELECT n_nationkey, '<!DOCTYPE html>' || chr(10) || '<html><head><meta charset="utf-8"><title>a &amp; b</title><style>' || chr(10) || 'p{}' || chr(10) || '</style></head><body>' || chr(10)
+ || '<h2>' || n_name || '</h2>' || chr(10) || '<ul><li><strong>' || n_name || '</strong> &lt;x&gt;</li><li>' || n_nationkey || '</li></ul>' || chr(10)
+ || CASE WHEN n_nationkey % 2 = 0 THEN '<table><tr><th>a</th><th>' || n_name || '</th></tr><tr><td>1</td><td><a href="u">l</a></td></tr></table>' ELSE '<pre><code>**' || n_name || '** &amp;</code></pre>' END
+ || chr(10) || '<blockquote><p>q</p></blockquote>' || chr(10) || '<hr>' || chr(10) || '<p><em>' || n_name || '</em><br>end</p>' || chr(10) || '</body></html>' || chr(10) AS html FROM nation"""
+)
+def nation_pages(spark, sf_dir):
+    """Markdown made out of nations as HTML pages."""
+    name, k = F.col("n_name"), F.col("n_nationkey")
+    some = F.when(k % 2 == 0, F.concat(F.lit("| a | "), name, F.lit(" |\n|---|---|\n| 1 | [l](u) |"))).otherwise(F.concat(F.lit("```py\n**"), name, F.lit("** &\n```")))
+    md = F.concat(F.lit("## "), name, F.lit("\n\n- **"), name, F.lit("** <x>\n- "), k.cast("string"), F.lit("\n\n"), some, F.lit("\n\n> q\n\n***\n\n*"), name, F.lit("*<br/>end\n"))
+    docs = table(spark, sf_dir, "nation").select("n_nationkey", md.alias("md"))
+    return blocks.html_documents(blocks.blocks(lines.lines_of(docs, "n_nationkey", "md"), "n_nationkey"), "n_nationkey", "p{}", "a & b")
+
+
 @query(
     """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN printf('%.2f', l_quantity::DOUBLE) WHEN l_linenumber % 3 = 1 THEN l_quantity::BIGINT::VARCHAR ELSE (l_quantity::BIGINT)::VARCHAR || '.5' END AS shown FROM lineitem"""
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,18 +12,23 @@ from pyspark.sql import functions as F
 ORDER = ("utf-8", "gb2312", "gbk", "gb18030")
 
 
-def decoded(content: Column) -> Column:
-    """struct<text, encoding> of bytes; UTF-8 with replacements if no encoding fits."""
+def decoded(content: Column, detector: Callable[[bytes], str | None] | None = None) -> Column:
+    """struct<text, encoding> of bytes; UTF-8 with replacements if no encoding fits.
+
+    detector: a function that guesses the name of an encoding. Its guess is tried before the others; none, and one that
+    Python doesn't know or that doesn't fit, are passed over.
+    """
 
     @F.pandas_udf("text string, encoding string")
     def decode(raw: pd.Series) -> pd.DataFrame:
         def one(b):
             if b is None:
                 return None, None
-            for name in ORDER:
+            guess = detector(b) if detector else None
+            for name in ((guess.lower(),) if guess else ()) + ORDER:
                 try:
                     return b.decode(name), name
-                except UnicodeDecodeError:
+                except (UnicodeDecodeError, LookupError):
                     continue
             return b.decode("utf-8", "replace"), "replaced"
 
@@ -42,9 +49,9 @@ def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
 
 
-def html_files(spark: SparkSession, path: str) -> DataFrame:
+def html_files(spark: SparkSession, path: str, detector: Callable[[bytes], str | None] | None = None) -> DataFrame:
     """(path, html, encoding)."""
-    d = files(spark, path, "*.{html,htm}").withColumn("_d", decoded(F.col("content")))
+    d = files(spark, path, "*.{html,htm}").withColumn("_d", decoded(F.col("content"), detector))
     return d.select("path", F.col("_d.text").alias("html"), F.col("_d.encoding").alias("encoding"))
 
 
@@ -54,5 +61,5 @@ def markdown_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length) of image files in order of their paths."""
-    return files(spark, path, "*.{png,jpg,jpeg,gif,bmp,webp}").select("path", "length").orderBy("path")
+    """(path, length) of image files; whoever shows them sorts them by path."""
+    return files(spark, path, "*.{png,jpg,jpeg,gif,bmp,webp}").select("path", "length")

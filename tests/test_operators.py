@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from docspark.functions import text
 from docspark.operators import audit, blocks, boxes, layout, lines, numbering, tables, textlayer
 
 
@@ -148,3 +150,22 @@ def test_signals_of_pages(spark):
     assert (got[1]["n"], got[1]["n_invalid"], got[1]["n_latin"]) == (13, 9, 1)
     assert (got[2]["n"], got[2]["top"], got[2]["n_top"], got[3]["n"], got[3]["reasons"]) == (0, None, 0, None, None)
     assert (got[4]["top"], got[4]["n_top"], got[4]["reasons"]) == ("中", 60, ["repeated"])
+
+
+def test_any_engine_may_recognise_images(spark):
+    def engine(content):
+        if content == b"bad":
+            raise ValueError("no image")
+        return [(0, 0, 9, 9, content.decode()), (20, 0, 29, 9, "x")]
+
+    images = spark.createDataFrame([(1, b"a"), (2, b"bad"), (3, None)], "img int, content binary")
+    b = boxes.rows_of_boxes(boxes.recognised(images, "img", engine), "img")
+    assert {r["img"]: r["text"] for r in boxes.text_of_rows(b, "img").collect()} == {1: "a x"}
+
+
+def test_a_style_without_css_is_refused(spark):
+    d = spark.createDataFrame([("```css\n p{} \n```",)], "t string")
+    assert d.select(text.required_fence(F.col("t"), "css")).first()[0] == "p{}"
+    for bad in ("none", "```css\n \n```"):
+        with pytest.raises(Exception, match="no ```css block"):
+            spark.createDataFrame([(bad,)], "t string").select(text.required_fence(F.col("t"), "css")).collect()

@@ -42,6 +42,21 @@ def test_encodings(spark):
     assert got[1] == ("é中", "utf-8") and got[2] == ("中文", "gb2312") and got[3][0] == "𠀀" and got[4][1] == "replaced"
 
 
+def test_files_and_detectors(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "a.html").write_bytes("é".encode("latin-1") + b"x")
+    (tmp_path / "deep" / "b.htm").write_bytes("中".encode())
+    (tmp_path / "deep" / "c.png").write_bytes(b"12345")
+    (tmp_path / "d.md").write_bytes(b"\xef\xbb\xbf# d")
+    guess = {b"\xe9x": "LATIN-1", "中".encode(): "no-such-encoding"}.get
+    names = lambda d, c: {r["path"].rsplit("/", 1)[1]: r[c] for r in d.collect()}
+    found = encodings.html_files(spark, str(tmp_path), guess)
+    assert names(found, "html") == {"a.html": "éx", "b.htm": "中"} and names(found, "encoding") == {"a.html": "latin-1", "b.htm": "utf-8"}
+    assert names(encodings.html_files(spark, str(tmp_path)), "encoding") == {"a.html": "gbk", "b.htm": "utf-8"}
+    assert names(encodings.images(spark, str(tmp_path)), "length") == {"c.png": 5}
+    assert names(encodings.markdown_files(spark, str(tmp_path)), "text") == {"d.md": "# d"}
+
+
 def test_word_numbers(spark):
     numbering_xml = f"""<w:numbering {W}><w:abstractNum w:abstractNumId="0">
       <w:lvl w:ilvl="0"><w:start w:val="1"/><w:numFmt w:val="chineseCounting"/><w:lvlText w:val="第%1章"/></w:lvl>
