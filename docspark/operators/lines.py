@@ -45,9 +45,10 @@ def without_indents(lines: DataFrame, key: str) -> DataFrame:
 def captions_into_images(lines: DataFrame, key: str) -> DataFrame:
     """An image line takes the next line that isn't blank as its alt text, if that is a caption."""
     line = F.col("line")
-    below = in_order(key).rowsBetween(1, Window.unboundedFollowing)
+    # Read upwards: a frame down to the last line would be gone through anew for every line.
+    below = Window.partitionBy(key).orderBy(F.desc("lineno")).rowsBetween(Window.unboundedPreceding, -1)
     bare = strip(line)
-    lines = lines.withColumn("_next", F.first(F.when(bare != "", bare), ignorenulls=True).over(below))
+    lines = lines.withColumn("_next", F.last(F.when(bare != "", bare), ignorenulls=True).over(below))
     caption = F.translate(strip(F.regexp_extract("_next", K.CAPTION, 1)), "[]", "（）")
     is_image = line.rlike(K.IMAGE_LINE) & F.col("_next").rlike(K.CAPTION)
     new = F.concat(F.lit("!["), caption, F.lit("]("), F.regexp_extract(line, K.IMAGE_LINE, 2), F.lit(")"))

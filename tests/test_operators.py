@@ -169,3 +169,14 @@ def test_a_style_without_css_is_refused(spark):
     for bad in ("none", "```css\n \n```"):
         with pytest.raises(Exception, match="no ```css block"):
             spark.createDataFrame([(bad,)], "t string").select(text.required_fence(F.col("t"), "css")).collect()
+
+
+def test_captions_of_a_long_document(spark):
+    """The next line that counts is found in one pass: no window frame reaches down to the end."""
+    n = 60_000
+    line = F.when(F.col("id") == n - 1, F.lit("图1 plan")).when(F.col("id") % 2 == 0, F.lit("![](a.png)")).otherwise(F.lit(" "))
+    l = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("lineno"), line.alias("line"))  # noqa: E741
+    out = lines.captions_into_images(l, "k")
+    assert "unboundedfollowing" not in out._jdf.queryExecution().executedPlan().toString().lower()
+    got = {r["lineno"]: r["line"] for r in out.where(f"lineno >= {n - 4}").collect()}
+    assert got == {n - 4: "![](a.png)", n - 3: " ", n - 2: "![图1 plan](a.png)", n - 1: "图1 plan"}
