@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import sheet_cell, strip, table_cell
+from ..functions.text import once, sheet_cell, strip, table_cell
 
 
 def row_line(cells: Column) -> Column:
@@ -17,12 +17,16 @@ def rendered_rows(rows: Column) -> Column:
     """Markdown of array<array<string>>: cells cleaned, empty rows dropped, short rows padded, a separator below
     the first; null if nothing is left."""
     clean = F.transform(rows, lambda r: F.transform(r, table_cell))
+
+    def render(full: Column, width: Column) -> Column:
+        line = lambda r: row_line(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
+        rest = F.slice(full, F.lit(2), F.greatest(F.size(full) - 1, F.lit(0)))
+        head = F.array(line(F.get(full, 0)), F.concat(F.lit("|"), F.repeat(F.lit("---|"), width)))
+        return F.when(F.size(full) > 0, F.concat_ws("\n", F.concat(head, F.transform(rest, line))))
+
+    # Cells are cleaned once, and the width is found once, not for every row anew.
     full = F.filter(clean, lambda r: F.exists(r, lambda c: c != ""))
-    width = F.array_max(F.transform(full, F.size))
-    padded = F.transform(full, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
-    head, rest = row_line(F.get(padded, 0)), F.slice(padded, F.lit(2), F.greatest(F.size(padded) - 1, F.lit(0)))
-    body = F.concat(F.array(head, F.concat(F.lit("|"), F.repeat(F.lit("---|"), width))), F.transform(rest, row_line))
-    return F.when(F.size(full) > 0, F.concat_ws("\n", body))
+    return once(full, lambda f: once(F.array_max(F.transform(f, F.size)), lambda w: render(f, w)))
 
 
 def table_candidates(tables: DataFrame) -> DataFrame:

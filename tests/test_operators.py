@@ -180,3 +180,14 @@ def test_captions_of_a_long_document(spark):
     assert "unboundedfollowing" not in out._jdf.queryExecution().executedPlan().toString().lower()
     got = {r["lineno"]: r["line"] for r in out.where(f"lineno >= {n - 4}").collect()}
     assert got == {n - 4: "![](a.png)", n - 3: " ", n - 2: "![图1 plan](a.png)", n - 1: "图1 plan"}
+
+
+def test_long_tables_are_rendered_once(spark):
+    """A cell is cleaned in one place of the plan, and a table of many rows is not gone through anew for each."""
+    cells = F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda i: F.when(i % 2 == 0, F.array(i.cast("string"), F.lit(" a|b "))).otherwise(F.array(i.cast("string"))))
+    out = spark.range(1).select(tables.rendered_rows(F.concat(F.array(F.array(F.lit("h"))), cells, F.array(F.array(F.lit(" "))))).alias("md"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_replace") == 1
+    got = out.first()["md"].split("\n")
+    assert got[:4] == ["| h |  |", "|---|---|", "| 1 |  |", "| 2 | a\\|b |"] and len(got) == 3002
+    empty = spark.range(1).select(tables.rendered_rows(F.array(F.array(F.lit(" "), F.lit(None).cast("string")))).alias("md"))
+    assert empty.first()["md"] is None
