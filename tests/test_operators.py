@@ -191,3 +191,15 @@ def test_long_tables_are_rendered_once(spark):
     assert got[:4] == ["| h |  |", "|---|---|", "| 1 |  |", "| 2 | a\\|b |"] and len(got) == 3002
     empty = spark.range(1).select(tables.rendered_rows(F.array(F.array(F.lit(" "), F.lit(None).cast("string")))).alias("md"))
     assert empty.first()["md"] is None
+
+
+def test_signals_need_no_row_per_character(spark):
+    """A page's characters are counted in its own row; ties go to the smaller code point, and bytes that are no UTF-8 end no job."""
+    pages = [(1, bytearray("b　a😀😀é é".encode())), (2, bytearray(b"ab\xff")), (3, bytearray(b" \n"))]
+    out = textlayer.signals(spark.createDataFrame(pages, "p int, raw binary").select("p", F.col("raw").cast("string").alias("t")), ["p"], "t")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    got = {r["p"]: r for r in out.collect()}
+    assert (got[1]["n"], got[1]["n_latin"], got[1]["top"], got[1]["n_top"]) == (6, 2, "é", 2)
+    assert (got[2]["n"], got[2]["n_invalid"]) == (3, 1)
+    assert (got[3]["chars"], got[3]["n"], got[3]["top"], got[3]["n_top"]) == (0, 0, None, 0)
