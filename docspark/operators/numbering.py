@@ -16,6 +16,10 @@ from ..functions.counters import counter
 
 LEVELS = 9
 
+#: Bytes of input files for one task's sort: some hundred thousand rows of compressed Parquet.
+PART_BYTES = 4 << 20
+MOST_PARTS = 20_000
+
 
 def effective_levels(abstract: DataFrame, redefined: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, num_id, ilvl, start, fmt, lvl_text, restart, is_lgl, override): a list's own definition of a level goes
@@ -107,19 +111,36 @@ def by_abstract_list(numbered: DataFrame, keys: list[str], abstract_id: str) ->
     return shown.where(mine), others.agg(F.count("*").alias("n"), F.count_if(inside).alias("n_in_table"), F.count_if(~inside).alias("n_outside"))
 
 
+def dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows dealt by ``keys`` into as many parts as the input has ``PART_BYTES``, at least the session's number.
+
+    Left alone, the parts of an exchange are of the session's number or put together up to a size in bytes that is small
+    on the wire and large in a sort, with a list's levels beside each row. The size is that of the files below; where
+    it is unknown the session's number holds.
+    """
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = 0
+    for i in range(leaves.size()):
+        size = int(leaves.apply(i).stats().sizeInBytes())
+        total += size if size < 1 << 50 else 0
+    parts = min(-(-total // PART_BYTES), MOST_PARTS)
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts), *keys)
+
+
 def level_values(paragraphs: DataFrame, levels: DataFrame, keys: list[str], depth: int = LEVELS) -> DataFrame:
     """Adds v0, v1, ... the counters of all levels after each paragraph.
 
     paragraphs: keys (document and list), seq, ilvl. levels: keys, ilvl, start, restart, override. One exchange and
     one sort: every window has the same partitioning and order.
     """
-    return _values(paragraphs.join(_spec(levels, keys, ["start", "restart", "override"]), keys, "left"), keys, depth).drop("spec")
+    spec = _spec(levels, keys, ["start", "restart", "override"])
+    return _values(dealt(paragraphs, keys).join(spec, keys, "left"), keys, depth).drop("spec")
 
 
 def numbers(paragraphs: DataFrame, levels: DataFrame, keys: list[str], depth: int = LEVELS) -> DataFrame:
     """:func:`level_values` and :func:`rendered` with one join for both; the counters are left out."""
     spec = _spec(levels, keys, ["start", "restart", "override", "fmt", "lvl_text", "is_lgl"])
-    p = _rendered(_values(paragraphs.join(spec, keys, "left"), keys, depth), depth)
+    p = _rendered(_values(dealt(paragraphs, keys).join(spec, keys, "left"), keys, depth), depth)
     return p.drop(*[f"v{k}" for k in range(depth)])
 
 

@@ -26,7 +26,7 @@ def _lists(spark, sf_dir):
     p = l.select(
         F.col("l_suppkey").alias("num_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
         ((F.col("l_orderkey") * 7 + F.col("l_linenumber") * F.col("l_linenumber")) % _DEPTH).cast("int").alias("ilvl"),
-    ).dropDuplicates(["num_id", "seq"])
+    )
     ids = p.select("num_id").distinct().select("num_id", F.explode(F.sequence(F.lit(0), F.lit(_DEPTH - 1))).alias("ilvl"))
     h = F.col("num_id") * 5 + F.col("ilvl") * 3
     levels = ids.select(
@@ -36,7 +36,7 @@ def _lists(spark, sf_dir):
         F.element_at(F.array(*[F.lit(".".join(f"%{i + 1}" for i in range(k + 1))) for k in range(_DEPTH)]), F.col("ilvl") + 1).alias("lvl_text"),
         (h % 4 == 0).alias("is_lgl"),
     )
-    return p, levels
+    return numbering.dealt(p, ["num_id", "seq"]).dropDuplicates(["num_id", "seq"]), levels
 
 
 _LISTS = f"""p AS (SELECT DISTINCT l_suppkey AS num_id, l_orderkey * 8 + l_linenumber AS seq, ((l_orderkey * 7 + l_linenumber * l_linenumber) % {_DEPTH})::INT AS ilvl FROM lineitem),

@@ -203,3 +203,17 @@ def test_signals_need_no_row_per_character(spark):
     assert (got[1]["n"], got[1]["n_latin"], got[1]["top"], got[1]["n_top"]) == (6, 2, "é", 2)
     assert (got[2]["n"], got[2]["n_invalid"]) == (3, 1)
     assert (got[3]["chars"], got[3]["n"], got[3]["top"], got[3]["n_top"]) == (0, 0, None, 0)
+
+
+def test_lists_are_dealt_by_the_size_of_the_input(spark, tmp_path, monkeypatch):
+    """More input means more sorts, not larger ones; a list stays in one part."""
+    spark.range(20_000).selectExpr("id % 500 AS d", "id AS seq", "CAST(id % 2 AS int) AS ilvl").write.parquet(str(tmp_path / "p"))
+    p = spark.read.parquet(str(tmp_path / "p"))
+    levels = [(d, k, 1, None, None) for d in range(500) for k in range(2)]
+    l = spark.createDataFrame(levels, "d long, ilvl int, start int, restart int, override int")  # noqa: E741
+    size = sum(f.stat().st_size for f in (tmp_path / "p").glob("*.parquet"))
+    monkeypatch.setattr(numbering, "PART_BYTES", size // 20)
+    found = numbering.level_values(p, l, ["d"], 2).withColumn("part", F.spark_partition_id())
+    parts = found.groupBy("d").agg(F.count_distinct("part").alias("n"), F.min("part").alias("part"), F.count("*").alias("rows")).collect()
+    assert {r["n"] for r in parts} == {1} and sum(r["rows"] for r in parts) == 20_000
+    assert len({r["part"] for r in parts}) >= 15
