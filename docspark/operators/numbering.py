@@ -118,13 +118,23 @@ def dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
     on the wire and large in a sort, with a list's levels beside each row. The size is that of the files below; where
     it is unknown the session's number holds.
     """
+    return rows.repartition(_parts(rows), *keys)
+
+
+def _parts(rows: DataFrame) -> int:
     leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
     total = 0
     for i in range(leaves.size()):
         size = int(leaves.apply(i).stats().sizeInBytes())
         total += size if size < 1 << 50 else 0
     parts = min(-(-total // PART_BYTES), MOST_PARTS)
-    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts), *keys)
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts)
+
+
+def _with_spec(paragraphs: DataFrame, levels: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Paragraphs with their list's levels. Both sides are dealt alike: a join goes by the side that needs no exchange."""
+    n = _parts(paragraphs)
+    return dealt(paragraphs, keys).join(_spec(levels.repartition(n, *keys), keys, columns), keys, "left")
 
 
 def level_values(paragraphs: DataFrame, levels: DataFrame, keys: list[str], depth: int = LEVELS) -> DataFrame:
@@ -133,14 +143,12 @@ def level_values(paragraphs: DataFrame, levels: DataFrame, keys: list[str], dept
     paragraphs: keys (document and list), seq, ilvl. levels: keys, ilvl, start, restart, override. One exchange and
     one sort: every window has the same partitioning and order.
     """
-    spec = _spec(levels, keys, ["start", "restart", "override"])
-    return _values(dealt(paragraphs, keys).join(spec, keys, "left"), keys, depth).drop("spec")
+    return _values(_with_spec(paragraphs, levels, keys, ["start", "restart", "override"]), keys, depth).drop("spec")
 
 
 def numbers(paragraphs: DataFrame, levels: DataFrame, keys: list[str], depth: int = LEVELS) -> DataFrame:
     """:func:`level_values` and :func:`rendered` with one join for both; the counters are left out."""
-    spec = _spec(levels, keys, ["start", "restart", "override", "fmt", "lvl_text", "is_lgl"])
-    p = _rendered(_values(dealt(paragraphs, keys).join(spec, keys, "left"), keys, depth), depth)
+    p = _rendered(_values(_with_spec(paragraphs, levels, keys, ["start", "restart", "override", "fmt", "lvl_text", "is_lgl"]), keys, depth), depth)
     return p.drop(*[f"v{k}" for k in range(depth)])
 
 

@@ -213,6 +213,8 @@ def test_lists_are_dealt_by_the_size_of_the_input(spark, tmp_path, monkeypatch):
     l = spark.createDataFrame(levels, "d long, ilvl int, start int, restart int, override int")  # noqa: E741
     size = sum(f.stat().st_size for f in (tmp_path / "p").glob("*.parquet"))
     monkeypatch.setattr(numbering, "PART_BYTES", size // 20)
+    l.write.parquet(str(tmp_path / "l"))
+    l = spark.read.parquet(str(tmp_path / "l")).hint("merge")  # noqa: E741
     found = numbering.level_values(p, l, ["d"], 2).withColumn("part", F.spark_partition_id())
     parts = found.groupBy("d").agg(F.count_distinct("part").alias("n"), F.min("part").alias("part"), F.count("*").alias("rows")).collect()
     assert {r["n"] for r in parts} == {1} and sum(r["rows"] for r in parts) == 20_000
